@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import cluster, decontaminate, exact_dedup, langid, mixing, substring_dedup, tokens
+from halyard.llm import cluster, decontaminate, exact_dedup, jaccard_join, langid, mixing, substring_dedup, tokens
 from halyard.session import read_table
 
 #: Uniform hash for folds: crc32 of the id as text; a null id counts as the empty text.
@@ -18,6 +18,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"id": "doc_id", "kept": "kept_sha256"})
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -51,6 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
