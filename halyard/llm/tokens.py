@@ -16,8 +16,8 @@ Documents are range-partitioned by id (null ids first), each task encodes its do
 files of about ``FILE_TOKENS`` tokens, and Spark writes them, so any file system it knows will do.
 A file in progress is the only thing a task holds.
 
-Encoding: a text is cut at ASCII spaces that follow a non-space character, where the byte-level
-pattern always starts a new piece, and each distinct piece is encoded once per batch.
+Encoding: a text is cut at ASCII spaces that follow a firm character, where the byte-level pattern
+always starts a new piece, and each distinct piece is encoded once.
 
 Defined results: a null text is empty and has only the end id; repeated ids are separate
 documents, in text order; an empty table gives no files and no rows.
@@ -25,6 +25,7 @@ documents, in text order; an empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -43,32 +44,64 @@ NO_ID = np.iinfo(np.int64).min
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the pieces it has seen, up to a bound."""
+    """Encodes batches of texts.  A text is cut into pieces that encode alone as they do in place;
+    each distinct piece of a batch is encoded once, and the first ``REMEMBER`` pieces a worker meets
+    (the frequent ones among them) are kept with their ids."""
 
-    REMEMBER = 200_000
+    REMEMBER = 300_000
+    TOGETHER = 500
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.vocabulary = self.tokenizer.get_vocab_size()
-        self.seen: dict[bytes, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.top = max(vocabulary.values())
+        self.length = np.zeros(self.top + 1, np.int64)  # bytes: a byte-level token has a letter for each
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)
+        self.seen: dict[bytes, bytes] = {}
 
     @staticmethod
-    def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where pieces begin: at each text, and at each space after a printable ASCII character or
-        a letter of U+00C0 to U+00FF (no white space there)."""
-        n = len(data)
-        begin = np.zeros(n + 1, bool)
+    def _firm(data: np.ndarray) -> np.ndarray:
+        """Bytes that end a printable ASCII character or a letter of U+00C0 to U+00FF: no white space."""
+        firm = (data > 0x20) & (data < 0x7F)
+        firm[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80)
+        return firm
+
+    @classmethod
+    def cuts(cls, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at each text, and at each space after a firm byte."""
+        begin = np.zeros(len(data) + 1, bool)
         begin[offsets] = True
-        if n > 1:
-            printable = (data > 0x20) & (data < 0x7F)
-            printable[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80)
-            begin[1:n] |= (data[1:] == 0x20) & printable[:-1]
-        begin[n] = True
+        begin[1:-1] |= (data[1:] == 0x20) & cls._firm(data)[:-1]
         return np.flatnonzero(begin)
 
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, each as the bytes of unsigned 32-bit integers.  Pieces between
+        a space and a firm byte encode alike side by side, so many go through the library as one
+        text and are told apart by the lengths of their tokens; others go one by one."""
+        out: list[bytes] = [b""] * len(pieces)
+        last = np.array([(p[-2:-1] == b"\xc3") | (0x20 < p[-1] < 0x7F) for p in pieces])
+        firm = [i for i, ok in enumerate(last.tolist()) if ok and pieces[i][0] == 0x20]
+        alone = sorted(set(range(len(pieces))).difference(firm))
+        encode = self.tokenizer.encode_batch_fast
+        for i, e in zip(alone, encode([pieces[i].decode("utf-8") for i in alone], add_special_tokens=False)):
+            out[i] = np.array(e.ids, np.uint32).tobytes()
+        for at in range(0, len(firm), self.TOGETHER):
+            some = firm[at : at + self.TOGETHER]
+            text = b"".join([pieces[i] for i in some]).decode("utf-8")
+            ids = np.array(encode([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.length[ids])
+            stop = np.searchsorted(ends, np.cumsum([len(pieces[i]) for i in some]), "right")
+            raw, begin = ids.tobytes(), 0
+            for i, end in zip(some, (4 * stop).tolist()):
+                out[i] = raw[begin:end]
+                begin = end
+        return out
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
         data, offsets = flat_bytes(column)
@@ -77,29 +110,39 @@ class Encoder:
         cuts = self.cuts(data, offsets)
         coded = as_binary(data, cuts).dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        new = [p for p in pieces if p not in self.seen]
-        if len(self.seen) + len(new) > self.REMEMBER:
-            self.seen.clear()
-            new = pieces
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch([p.decode("utf-8") for p in new], add_special_tokens=False)):
-                self.seen[p] = np.array(e.ids, np.uint32)
-        ids = [self.seen[p] for p in pieces]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids)
+        ids = [self.seen.get(p) for p in pieces]
+        missing = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(missing, self._ids([pieces[i] for i in missing]) if missing else ()):
+            ids[i] = x
+            if len(self.seen) < self.REMEMBER:
+                self.seen[pieces[i]] = x
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         start = np.cumsum(size) - size
         which = coded.indices.to_numpy()
         length = size[which]
         to = np.concatenate([[0], np.cumsum(length)])
-        source = np.repeat(start[which] - to[:-1], length) + np.arange(to[-1])
+        source = np.repeat(start[which] - to[:-1], length)
+        source += np.arange(to[-1])
         return flat[source], np.diff(to[np.searchsorted(cuts, offsets)])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """The worker's encoder; it outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _part(ids: list[np.ndarray], counts: list[np.ndarray], doc_ids: list[np.ndarray], nulls: bool, kind) -> bytes:
     flat, count, doc = np.concatenate(ids), np.concatenate(counts), np.concatenate(doc_ids)
+    ids.clear()
     offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.uint64)
     footer = np.array([MAGIC, np.dtype(kind).itemsize, len(count), len(flat), int(nulls)], np.int64)
-    return flat.astype(kind).tobytes() + offsets.tobytes() + doc.astype(np.int64).tobytes() + footer.tobytes()
+    return b"".join([flat.data, offsets.data, doc.astype(np.int64).data, footer.data])
 
 
 def parse_part(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -115,8 +158,8 @@ def parse_part(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool
 
 def _write_partition(tokenizer_path: str, end_id: int, file_tokens: int):
     def of_partition(batches):
-        encoder = Encoder(tokenizer_path)
-        kind = np.uint16 if max(encoder.vocabulary - 1, end_id) < 1 << 16 else np.uint32
+        encoder = encoder_for(tokenizer_path)
+        kind = np.uint16 if max(encoder.top, end_id) < 1 << 16 else np.uint32
         ids, counts, docs, held, nulls, number = [], [], [], 0, False, 0
 
         def flush():
@@ -132,7 +175,7 @@ def _write_partition(tokenizer_path: str, end_id: int, file_tokens: int):
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, "right")) - 1)
                 piece = batch.slice(at, to - at)
                 flat, count = encoder.encode(piece.column(1))
-                ids.append(np.insert(flat, np.cumsum(count), end_id))
+                ids.append(np.insert(flat.astype(kind), np.cumsum(count), end_id))
                 counts.append(count + 1)
                 nulls |= piece.column(0).null_count > 0
                 docs.append(piece.column(0).fill_null(NO_ID).to_numpy())
@@ -163,16 +206,11 @@ def part_files(spark: SparkSession, path: str) -> DataFrame:
 def bases(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
     """By part file name: documents and tokens in all parts before it (one row per file here)."""
 
-    def totals(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, offsets, _, _ = parse_part(content)
-                yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]]), pa.array([len(offsets) - 1]), pa.array([len(ids)])], ["name", "docs", "tokens"])
-
-    rows = sorted(part_files(spark, path).select("path", "content").mapInArrow(totals, "name string, docs bigint, tokens bigint").collect())
+    footers = part_files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.expr(f"substring(content, length - {39 + GUARD}, 40)").alias("footer"))
     out, docs, tokens = {}, 0, 0
-    for name, d, t in rows:
+    for name, footer in sorted((r.name, bytes(r.footer)) for r in footers.collect()):
         out[name] = (docs, tokens)
+        _, _, d, t, _ = np.frombuffer(footer, np.int64).tolist()
         docs, tokens = docs + d, tokens + t
     return out
 
