@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import cluster, decontaminate, exact_dedup, jaccard_join, langid, mixing, substring_dedup, tokens
+from halyard.llm import cluster, decontaminate, exact_dedup, jaccard_join, langid, language_model, mixing, substring_dedup, tokens
 from halyard.session import read_table
 
 #: Uniform hash for folds: crc32 of the id as text; a null id counts as the empty text.
@@ -13,6 +13,11 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score_texts(read_table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated_windows(read_table(spark, sf_dir, "documents"), digest=True)
     return out.withColumnsRenamed({"id": "doc_id", "kept": "kept_sha256"})
@@ -55,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
