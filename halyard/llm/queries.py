@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import cluster, decontaminate, exact_dedup, jaccard_join, langid, language_model, mixing, substring_dedup, tokens
+from halyard.llm import cluster, decontaminate, exact_dedup, jaccard_join, langid, language_model, mixing, substring_dedup, tokens, warc
 from halyard.session import read_table
 
 #: Uniform hash for folds: crc32 of the id as text; a null id counts as the empty text.
@@ -44,6 +44,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(docs, size=F.length(F.coalesce("text", F.lit(""))), temperature=0.5, total=1.0, seed=17)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = cluster.shared_dir(spark)
+    warc.write_warc(read_table(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path, with_payload=False).where("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +73,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
     "op9_token_ids": op9_token_ids,
     "op10_language_id": op10_language_id,
 }
@@ -101,4 +109,11 @@ drawn AS (SELECT doc_id, source, text, ('0x' || substr(md5('17:' || coalesce(doc
 counted AS (SELECT doc_id, d.source, text, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND c <= u) AS n_copies FROM drawn AS d),
 copied AS (SELECT doc_id, source, text, n_copies::INTEGER AS n_copies, unnest(generate_series(1, n_copies))::INTEGER AS copy FROM counted)
 SELECT doc_id, source, text, n_copies, copy, md5('17 order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR) AS shuffle_key FROM copied""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, count(*) OVER (PARTITION BY h) AS copies FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 100 AND copies > 1 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND copies > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM g""",
 }
