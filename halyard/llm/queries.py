@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import cluster, decontaminate, exact_dedup, jaccard_join, langid, language_model, mixing, substring_dedup, tokens, warc
+from halyard.llm import cluster, decontaminate, exact_dedup, jaccard_join, langid, language_model, mixing, substring_dedup, surrogates, tokens, warc
 from halyard.session import read_table
 
 #: Uniform hash for folds: crc32 of the id as text; a null id counts as the empty text.
@@ -35,6 +35,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = surrogates.replace_personal_data(docs)
+    return done.select("doc_id", F.col("clean_text").alias("text"), "n_entities", "entity_kinds", (F.col("n_entities") > 0).alias("has_pii"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), digests=True).withColumnRenamed("id", "doc_id")
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
