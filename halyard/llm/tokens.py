@@ -48,7 +48,7 @@ class Encoder:
     each distinct piece of a batch is encoded once, and the first ``REMEMBER`` pieces a worker meets
     (the frequent ones among them) are kept with their ids."""
 
-    REMEMBER = 300_000
+    REMEMBER = 600_000
     TOGETHER = 500
 
     def __init__(self, path: str):
@@ -193,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     """Write part files below ``path``: partition order is id order, and so is file name order."""
     n = cluster.partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    ordered = own.repartitionByRange(n, "id", "text").sortWithinPartitions("id", "text")
+    ordered = own.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     parts = ordered.mapInArrow(_write_partition(tokenizer_path, end_id, file_tokens), "value binary")
     # a string column may hold any bytes, and the text writer writes them as they are
     parts.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0" * GUARD).text(path)
