@@ -42,3 +42,21 @@ def text_size(df: DataFrame, column: str) -> int:
 def pieces(n_bytes: int, least: int, size: int = CHUNK_BYTES) -> int:
     """How many chunks or buckets hold n_bytes in pieces of about ``size``, not below ``least``."""
     return max(1, least if n_bytes > least * 4096 else 1, -(-n_bytes // size))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until the table has no column of that name."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The table without columns that an operator is about to add under these names."""
+    lost = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lost])

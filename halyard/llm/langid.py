@@ -14,7 +14,8 @@ ASCII than letters has become one space, so they see word starts and ends.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all if
 nothing could be learned; a text whose n-grams are all unknown gets the most frequent learned
-language, score 0; ties go to the alphabetically first language; up to 64 languages.
+language, score 0; ties go to the alphabetically first language; up to 64 languages (the most
+frequent ones); all input columns are kept but those that have the name of an added one.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from halyard.llm import cluster
 from halyard.llm.text import flat_bytes, mix
 
 N = 4
@@ -167,6 +169,7 @@ def _slices(batch: pa.RecordBatch, column: int):
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The documents with two more columns."""
+    docs = cluster.without(docs, lang, score)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2^SLOTS_LOG2 masks, fixed
     at = docs.columns.index(text_col)
     names = [*docs.columns, lang, score]

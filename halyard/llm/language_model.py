@@ -494,7 +494,7 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
     n = cluster.partitions(spark)
     size = cluster.text_size(docs, text_col)
     chunks = buckets = cluster.pieces(size, n, CHUNK_BYTES)
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), train_rows.alias("train"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.coalesce(train_rows, F.lit(False)).alias("train"))
     dealt = own.select("*", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(chunks)).cast("int").alias("chunk")).repartition(n, "chunk")
 
     top = min(HEAD, 64 + 8 * HEAD // buckets)

@@ -11,7 +11,7 @@ joined by shuffle beyond.  The only shuffle of documents is the wanted one.
 
 Defined results: a null source is a source of its own; rows with the same id (or a null id) draw
 the same count; a source without a given target gets none (rate 0); an empty table gives an empty
-result; all input columns are kept, the added ones are named by the caller.
+result; all input columns are kept but those that have the name of an added one.
 """
 
 from __future__ import annotations
@@ -64,13 +64,15 @@ def repetition_rates(docs: DataFrame, source_col: str, size: Column, targets: di
 def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, targets: dict[str, float] | None = None, temperature: float = 0.5, total: float = 1.0, seed: int = 17, copy: str = "copy", copies: str = "n_copies", key: str = "shuffle_key") -> DataFrame:
     """The documents' columns, one row per copy, and copy (from 1), copies, key; in global random order."""
     spark = docs.sparkSession
-    rates = cluster.saved(repetition_rates(docs, source_col, F.lit(1) if size is None else size, targets, temperature, total).withColumn("mix_cdf", poisson_cdf(F.col("mix_rate"))))
+    docs = cluster.without(docs, copy, copies, key)
+    of, cdf, u = cluster.unused(docs, "mix_source", "mix_cdf", "mix_u")
+    rates = cluster.saved(repetition_rates(docs, source_col, F.lit(1) if size is None else size, targets, temperature, total).withColumn("cdf", poisson_cdf(F.col("mix_rate"))))
+    known = rates.select(F.col("mix_source").alias(of), F.col("cdf").alias(cdf))
     if rates.count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    mine = F.col(source_col).eqNullSafe(F.col("mix_source"))
-    drawn = docs.join(rates.select("mix_source", "mix_cdf"), mine).withColumn("mix_u", uniform(seed, F.col(id_col)))
-    drawn = drawn.withColumn(copies, F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))).where(F.col(copies) > 0)
-    out = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop("mix_source", "mix_cdf", "mix_u")
+        known = F.broadcast(known)
+    drawn = docs.join(known, F.col(source_col).eqNullSafe(F.col(of))).withColumn(u, uniform(seed, F.col(id_col)))
+    drawn = drawn.withColumn(copies, F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(copies) > 0)
+    out = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(of, cdf, u)
     out = out.withColumn(key, F.md5(F.concat_ws(":", F.lit(f"{seed} order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy))))
     n = cluster.partitions(spark)
     slot = (F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * n / F.lit(float(1 << 32))).cast("int")

@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +56,7 @@ class _Chunk:
     """The documents of a chunk in id order, and their packed strings without repetition."""
 
     def __init__(self, table: pa.Table, k: int, m: int, buckets: int):
-        ids = table["id"].to_numpy(zero_copy_only=False)
-        ids = np.where(np.isnan(ids), NO_ID, ids).astype(np.int64) if ids.dtype.kind == "f" else ids.astype(np.int64)
+        ids = pc.fill_null(table["id"], pa.scalar(NO_ID, pa.int64())).to_numpy()
         order = np.argsort(ids, kind="stable")
         self.table, self.ids = table.take(pa.array(order)), ids[order]
         self.words = words = words_of(self.table["text"])

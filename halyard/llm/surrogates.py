@@ -14,7 +14,8 @@ until none do; few or none need that, and only those are joined back to the docu
 them.  The other documents are rewritten without a shuffle.
 
 Defined results: a null text stays null, with no entities; rows with equal id and text are
-rewritten alike; an empty table gives an empty result; further columns are kept.
+rewritten alike; an empty table gives an empty result; all input columns are kept but those that
+have the name of an added one.
 """
 
 from __future__ import annotations
@@ -175,30 +176,32 @@ def draws(docs: DataFrame, text_col: str, key: str = KEY) -> DataFrame:
 def replace_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, out: str = "clean_text", found: str = "n_entities", kinds: str = "entity_kinds") -> DataFrame:
     """The documents with three more columns: the rewritten text, the number of entities replaced, and
     their sorted distinct kinds."""
+    docs = cluster.without(docs, out, found, kinds)
+    m, row, of, redrawn = cluster.unused(docs, "pii_match", "pii_row", "pii_of", "pii_draw")
     again = cluster.saved(draws(docs, text_col, key))
     matches = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
     has = F.coalesce(F.col(text_col).rlike(SIGN), F.lit(False))
-    rows = docs.withColumn("pii_match", F.when(has, matches))
+    rows = docs.withColumn(m, F.when(has, matches))
     if again.limit(1).count():
         mark = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
-        rows = rows.withColumn("pii_row", mark)
-        held = rows.where(F.size("pii_match") > 0).select("pii_row", F.explode("pii_match").alias("match")).withColumn("kind", entity_type(F.col("match")))
+        rows = rows.withColumn(row, mark)
+        held = rows.where(F.size(m) > 0).select(row, F.explode(m).alias("match")).withColumn("kind", entity_type(F.col("match")))
         held = held.withColumn("canon", canonical(F.col("match"), F.col("kind"))).join(again, ["kind", "canon"])
-        held = held.groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), "draw"))).alias("pii_draw"))
-        held = held.withColumnRenamed("pii_row", "pii_of")
-        rows = rows.join(held, F.col("pii_row").eqNullSafe(F.col("pii_of")), "left").drop("pii_of", "pii_row")
+        held = held.groupBy(row).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), "draw"))).alias(redrawn))
+        held = held.withColumnRenamed(row, of)
+        rows = rows.join(held, F.col(row).eqNullSafe(F.col(of)), "left").drop(of, row)
     else:
-        rows = rows.withColumn("pii_draw", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn(redrawn, F.lit(None).cast("map<string,int>"))
 
-    def replaced(m):
-        kind = entity_type(m)
-        draw = F.coalesce(F.element_at(F.col("pii_draw"), F.concat_ws("\x1f", kind, canonical(m, kind))), F.lit(0))
-        return surrogate(m, kind, draw, key)
+    def replaced(x):
+        kind = entity_type(x)
+        draw = F.coalesce(F.element_at(F.col(redrawn), F.concat_ws("\x1f", kind, canonical(x, kind))), F.lit(0))
+        return surrogate(x, kind, draw, key)
 
     between = F.split(F.col(text_col), ANY, -1)
-    new = F.concat(F.transform("pii_match", replaced), F.array(F.lit("")))
+    new = F.concat(F.transform(m, replaced), F.array(F.lit("")))
     text = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, b)), "")
-    rows = rows.withColumn(out, F.when(F.size("pii_match") > 0, text).otherwise(F.col(text_col)))
-    rows = rows.withColumn(found, F.greatest(F.coalesce(F.size("pii_match"), F.lit(0)), F.lit(0)).cast("bigint"))
-    rows = rows.withColumn(kinds, F.when(F.size("pii_match") > 0, F.array_join(F.array_sort(F.array_distinct(F.transform("pii_match", entity_type))), ",")).otherwise(F.lit("")))
-    return rows.drop("pii_match", "pii_draw")
+    rows = rows.withColumn(out, F.when(F.size(m) > 0, text).otherwise(F.col(text_col)))
+    rows = rows.withColumn(found, F.greatest(F.coalesce(F.size(m), F.lit(0)), F.lit(0)).cast("bigint"))
+    rows = rows.withColumn(kinds, F.when(F.size(m) > 0, F.array_join(F.array_sort(F.array_distinct(F.transform(m, entity_type))), ",")).otherwise(F.lit("")))
+    return rows.drop(m, redrawn)

@@ -200,7 +200,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
 
 def part_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
 
 
 def bases(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:

@@ -37,6 +37,7 @@ PADDING = 4
 LEVEL = 5
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _ZEROS = re.compile(rb"\0+")
 _MAGIC = b"\x1f\x8b\x08"
@@ -141,7 +142,9 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Damaged("header line without colon")
         fields[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-    size = fields.get("content-length", "")
+    if not MANDATORY <= fields.keys():
+        raise Damaged("mandatory field missing")
+    size = fields["content-length"]
     if not size.isdigit():
         raise Damaged("no content length")
     begin, end = stop + 4, stop + 4 + int(size)
