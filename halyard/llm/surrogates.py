@@ -87,6 +87,11 @@ def _number(stream: Column, i: Column | int) -> Column:
     return F.conv(F.substring(stream, F.pmod(at, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _pick(words: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), F.pmod(number, F.lit(len(words))).cast("int") + 1)
 
@@ -138,14 +143,18 @@ def _name(match: Column, stream: Column, draw: Column) -> Column:
 
 def surrogate(match: Column, kind: Column, draw: Column, key: str = KEY) -> Column:
     """The replacement of one match."""
-    canon = canonical(match, kind)
-    stream = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, draw.cast("string")), 512)
-    octets = F.concat_ws(".", *[(F.pmod(_number(stream, 2 * i) * 256 + _number(stream, 2 * i + 1), F.lit(254)) + 1).cast("string") for i in range(4)])
-    letters = _like(canon, stream, kind.isin("secret", "ipv6"))
-    whole = kind.isin("email", "ipv6", "secret", "access_key")
-    country = F.when(kind == "phone", F.regexp_extract(match, _COUNTRY, 0)).otherwise("")  # a country code stays
-    rest = F.substring(match, F.length(country) + 1, F.length(match))
-    return F.when(kind == "ip", octets).when(kind == "name", _name(match, stream, draw)).otherwise(F.concat(country, _poured(rest, letters, whole)))
+
+    def given(x):  # x: match, kind, canonical form and the keyed stream of bytes
+        octets = F.concat_ws(".", *[(F.pmod(_number(x.stream, 2 * i) * 256 + _number(x.stream, 2 * i + 1), F.lit(254)) + 1).cast("string") for i in range(4)])
+        country = F.when(x.kind == "phone", F.regexp_extract(x.match, _COUNTRY, 0)).otherwise("")  # a country code stays
+        rest = F.substring(x.match, F.length(country) + 1, F.length(x.match))
+        whole = x.kind.isin("email", "ipv6", "secret", "access_key")
+        like = _let(_like(x.canon, x.stream, x.kind.isin("secret", "ipv6")), lambda letters: F.concat(country, _poured(rest, letters, whole)))
+        return F.when(x.kind == "ip", octets).when(x.kind == "name", _name(x.match, x.stream, draw)).otherwise(like)
+
+    named = lambda x: F.struct(x.match.alias("match"), x.kind.alias("kind"), x.canon.alias("canon"), F.sha2(F.concat_ws("\x1f", F.lit(key), x.kind, x.canon, draw.cast("string")), 512).alias("stream"))
+    typed = F.struct(match.alias("match"), kind.alias("kind"), canonical(match, kind).alias("canon"))
+    return _let(typed, lambda x: _let(named(x), given))
 
 
 def _entities(docs: DataFrame, text_col: str) -> DataFrame:
@@ -157,9 +166,10 @@ def _entities(docs: DataFrame, text_col: str) -> DataFrame:
 
 def draws(docs: DataFrame, text_col: str, key: str = KEY) -> DataFrame:
     """(kind, canon, draw) of the entities whose first surrogate would not be theirs alone."""
+    n = cluster.partitions(docs.sparkSession)
     now = cluster.saved(_entities(docs, text_col).withColumn("draw", F.lit(0)))
     for _ in range(MAX_DRAWS):
-        given = now.withColumn("new", canonical(surrogate(F.col("match"), F.col("kind"), F.col("draw"), key), F.col("kind")))
+        given = now.repartition(n).withColumn("new", canonical(surrogate(F.col("match"), F.col("kind"), F.col("draw"), key), F.col("kind")))
         owner = given.groupBy("kind", "new").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n"))
         real = now.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
         judged = given.join(owner, ["kind", "new"]).join(real, ["kind", "new"], "left")
@@ -194,9 +204,11 @@ def replace_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str
         rows = rows.withColumn(redrawn, F.lit(None).cast("map<string,int>"))
 
     def replaced(x):
-        kind = entity_type(x)
-        draw = F.coalesce(F.element_at(F.col(redrawn), F.concat_ws("\x1f", kind, canonical(x, kind))), F.lit(0))
-        return surrogate(x, kind, draw, key)
+        def typed(kind):
+            draw = F.coalesce(F.element_at(F.col(redrawn), F.concat_ws("\x1f", kind, canonical(x, kind))), F.lit(0))
+            return surrogate(x, kind, draw, key)
+
+        return _let(entity_type(x), typed)
 
     between = F.split(F.col(text_col), ANY, -1)
     new = F.concat(F.transform(m, replaced), F.array(F.lit("")))
