@@ -125,8 +125,10 @@ def kruskal_wallis(df: DataFrame, keys: list[str], group: str, value: str) -> Da
     """keys, h, df, p: rank sums of the groups with tie correction; p = 1 if all values are equal."""
     ranks = _rank_table(df, value, keys)
     n_all = ranks.groupBy(*keys).agg(F.sum("n").cast("double").alias("n_all"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
-    sums = df.join(ranks.select(*keys, value, "rank"), [*keys, value]).groupBy(*keys, group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("m"))
-    h = sums.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q"), (F.count(F.lit(1)) - 1).alias("df")).join(n_all, keys) if keys else sums.agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q"), (F.count(F.lit(1)) - 1).alias("df")).join(n_all)
+    sums = df.join(ranks.select(*keys, value, "rank"), [*keys, value]).groupBy(*keys, group).agg(F.sum("rank").alias("_sum"), F.count(F.lit(1)).alias("_size"))
+    q = F.sum(F.col("_sum") * F.col("_sum") / F.col("_size")).alias("q")
+    h = sums.groupBy(*keys).agg(q, (F.count(F.lit(1)) - 1).alias("df"))
+    h = h.join(n_all, keys) if keys else h.join(F.broadcast(n_all))
     n = F.col("n_all")
     correction = 1 - F.col("ties") / F.when(n > 1, n * n * n - n).otherwise(1.0)
     value_h = F.when(correction > 0, (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.when(correction > 0, correction))
