@@ -16,8 +16,8 @@ Documents are range-partitioned by id (null ids first), each task encodes its do
 files of about ``FILE_TOKENS`` tokens, and Spark writes them, so any file system it knows will do.
 A file in progress is the only thing a task holds.
 
-Encoding: a text is cut at ASCII spaces that follow a firm character, where the byte-level pattern
-always starts a new piece, and each distinct piece is encoded once.
+Encoding: a text is cut where the byte-level pattern always starts a new piece (see
+``Encoder.cuts``), and each distinct piece is encoded once.
 
 Defined results: a null text is empty and has only the end id; repeated ids are separate
 documents, in text order; an empty table gives no files and no rows.
@@ -41,6 +41,8 @@ FILE_TOKENS = 4 << 20
 BATCH_BYTES = 1 << 20
 GUARD = 4
 NO_ID = np.iinfo(np.int64).min
+_LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
+_MARK = np.array([0x20 < b < 0x7F and not chr(b).isalnum() for b in range(256)])
 
 
 class Encoder:
@@ -73,10 +75,12 @@ class Encoder:
 
     @classmethod
     def cuts(cls, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where pieces begin: at each text, and at each space after a firm byte."""
+        """Where pieces begin: at each text, at each space after a firm byte, and at each ASCII
+        punctuation mark after an ASCII letter (a run of letters ends there in any case)."""
         begin = np.zeros(len(data) + 1, bool)
         begin[offsets] = True
         begin[1:-1] |= (data[1:] == 0x20) & cls._firm(data)[:-1]
+        begin[1:-1] |= _MARK[data[1:]] & _LETTER[data[:-1]]
         return np.flatnonzero(begin)
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
