@@ -36,7 +36,7 @@ SAMPLE_DOCS = 1_000
 #: An n-gram belongs to a language if that many of its sampled documents hold it.
 MIN_DOCS = 3
 #: Bytes of text worked on at a time.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 
 _MAP = np.full(256, 0x20, np.uint8)
 _MAP[0x61:0x7B] = np.arange(0x61, 0x7B)

@@ -17,6 +17,7 @@ U64 = np.uint64
 #: Base of the polynomial word hash (any odd number will do) and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+BLOCK = 1 << 17
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -47,14 +48,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each slice values[start:end] that does not depend on where the slice lies."""
+def _range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(values)
     total = np.zeros(n + 1, U64)
     np.cumsum((values.astype(U64) + U64(1)) * powers(BASE, n), out=total[1:])
     return mix((total[end] - total[start]) * powers(BASE_INVERSE, n + 1)[start] + (end - start).astype(U64))
 
 
+def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each slice values[start:end] that does not depend on where the slice lies.  Starts
+    ascend; slices are taken in blocks of about ``BLOCK`` values, which bounds the memory."""
+    if len(values) <= 2 * BLOCK:
+        return _range_hash(values, start, end)
+    out, i = np.empty(len(start), U64), 0
+    while i < len(start):
+        low = int(start[i])
+        j = max(i + 1, int(np.searchsorted(start, low + BLOCK)))
+        out[i:j] = _range_hash(values[low : int(end[i:j].max())], start[i:j] - low, end[i:j] - low)
+        i = j
+    return out
+
+
 def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another, and the len + 1 offsets of the texts."""
     if isinstance(column, pa.ChunkedArray):
