@@ -59,7 +59,8 @@ def prefix_tokens(windows: DataFrame, docs: DataFrame, text_col: str) -> DataFra
     # the vocabulary of one block of windows: at most WINDOW * BLOCK_ROWS words
     counts = seen.join(F.broadcast(wanted), "token", "left_semi").groupBy("token").count()
     each = windows.select("window", "words", "items", F.posexplode("words").alias("at", "word")).withColumn("token", F.lower("word"))
-    ranked = each.join(counts, "token", "left").groupBy("window").agg(F.first("words").alias("words"), F.first("items").alias("items"), F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "at")).alias("rarest"))
+    # counts has a row for each word of a block at most, so it too is bounded
+    ranked = each.join(F.broadcast(counts), "token", "left").groupBy("window").agg(F.first("words").alias("words"), F.first("items").alias("items"), F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "at")).alias("rarest"))
     return ranked.select(F.col("rarest.token").alias("token"), F.col("rarest.at").alias("at"), F.size("words").alias("length"), "window", F.lower("window").alias("lowered"), "items")
 
 
