@@ -126,3 +126,32 @@ def split_queries(ids: DataFrame, seed: int, n_train: int, folds: int, id_col: s
     """is_train and a fold number by seeded order."""
     ranked = global_rank(ids, [md5_key(id_col, seed), F.col(id_col)], "place")
     return ranked.select("*", (F.col("place") < n_train).alias("is_train"), F.pmod("place", F.lit(folds)).cast("int").alias("fold")).drop("place")
+
+
+def budget_grid(dense: tuple[int, int, int], sparse: tuple[int, int, int]) -> list[int]:
+    """The union of two (first, last, step) ranges, ascending."""
+    return sorted({b for first, last, step in (dense, sparse) for b in range(first, last + 1, step)})
+
+
+def unit_column(id_col: str, seed: int) -> Column:
+    """The deterministic unit hash of an id, vectorised."""
+    import pandas as pd
+
+    return F.pandas_udf(lambda ids: pd.Series(draws.unit_hash(ids.to_numpy(), seed)), "double")(F.col(id_col))
+
+
+def null_draws(ids: DataFrame, draws_wanted: int, s: float, seed: int, id_col: str = "vec_id") -> DataFrame:
+    """(draw, vec_id): independent random attributes of selectivity about s, from hashes; one row per
+    passing id and draw."""
+    drawn = ids.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws_wanted))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", id_col)), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    return drawn.where(u < s).select("draw", id_col)
+
+
+def grid_problems(grid: DataFrame, attributes: DataFrame) -> DataFrame:
+    """attributes: level, realization, cluster_hash, attribute_hash.  Levels whose realizations do not
+    share one clustering, attributes that are not unique, and conditions without an attribute."""
+    levels = attributes.groupBy("level").agg(F.count_distinct("cluster_hash").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("int")), F.lit(0)).cast("bigint").alias("several_clusterings"))
+    repeated = attributes.groupBy("attribute_hash").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("int")), F.lit(0)).cast("bigint").alias("repeated_attributes"))
+    missing = grid.join(attributes, ["level", "realization"], "left_anti").agg(F.count(F.lit(1)).alias("without_attribute"))
+    return levels.join(F.broadcast(repeated)).join(F.broadcast(missing))

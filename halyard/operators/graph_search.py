@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.random import unit_hash
@@ -293,3 +293,19 @@ def index_statistics(index: DataFrame) -> DataFrame:
     """Per level: nodes with links and their average number of distinct links."""
     per = index.groupBy("level", "src").agg(F.count_distinct("dst").alias("degree"))
     return per.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.avg("degree").alias("avg_degree"))
+
+
+def save_index(index: DataFrame, path: str, parameters: dict, rows: int) -> None:
+    """The links and, beside them, what the index was built with and over how many rows."""
+    index.write.mode("overwrite").parquet(f"{path}/links")
+    spark = index.sparkSession
+    spark.createDataFrame([(str(k), str(v)) for k, v in sorted({**parameters, "rows": rows}.items())], "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
+
+
+def load_index(spark: SparkSession, path: str, parameters: dict, rows: int) -> DataFrame:
+    """The links, refused if built otherwise or over another number of rows."""
+    found = {r.name: r.value for r in spark.read.parquet(f"{path}/parameters").collect()}
+    wanted = {str(k): str(v) for k, v in {**parameters, "rows": rows}.items()}
+    if found != wanted:
+        raise ValueError(f"index was built with {found}, wanted {wanted}")
+    return spark.read.schema(INDEX).parquet(f"{path}/links")

@@ -138,3 +138,13 @@ def tally(scored: DataFrame) -> DataFrame:
     return scored.agg(
         F.count(F.lit(1)).alias("queries"), F.min("recall").alias("recall_min"), F.avg("recall").alias("recall_mean"), F.max("rounds").alias("rounds_max"), F.sum("filter_violations").alias("filter_violations"), F.sum("distance_mismatches").alias("distance_mismatches")
     )
+
+
+def structure_record(neighbours: DataFrame, edges: DataFrame, base: DataFrame, passing: DataFrame, cluster_col: str, k_local: int, k_graph: int) -> DataFrame:
+    """One row for a condition: mean density and its dispersion, share of queries without a passing
+    neighbour, chance-corrected homophily, and clusters that pass in part."""
+    counts = base.join(passing.select("vec_id", F.lit(1).alias("ok")), "vec_id", "left").groupBy(cluster_col).agg(F.sum(F.coalesce("ok", F.lit(0))).alias("inside"), F.count(F.lit(1)).alias("size"))
+    row = counts.agg((F.sum("inside") / F.sum("size")).alias("s"), F.sum(((F.col("inside") > 0) & (F.col("inside") < F.col("size"))).cast("int")).alias("partial_clusters")).first()
+    density = local_density(neighbours, passing, k_local)
+    out = density_summary(density, row.s, k_local).join(F.broadcast(zero_fraction(density))).join(F.broadcast(homophily(edges, passing, k_graph)))
+    return out.withColumn("kappa", chance_corrected(F.col("homophily"), F.lit(row.s))).withColumn("s_achieved", F.lit(row.s)).withColumn("partial_clusters", F.lit(row.partial_clusters))

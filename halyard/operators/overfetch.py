@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions.vectors import distances_between, matrix
 from halyard.operators.nearest import STEP_CELLS, nearest, query_blocks
+from halyard.session import written
 
 
 def fetch_size(k: int, s: float, round_number: int, n: int, alpha: float = 1.0, growth: float = 2.0) -> int:
@@ -65,7 +66,7 @@ def passing_places(base: DataFrame, queries: DataFrame, k: int, predicate) -> Da
     of each (from 1) in the order of all rows."""
     spark = base.sparkSession
     own = base.select("vec_id", "embedding")
-    near = nearest(base.where(predicate), queries, k).persist()
+    near = written(nearest(base.where(predicate), queries, k))
     parts = []
     for block in query_blocks(queries, None):
         ids = block.value[0]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halyard.operators.ranks import running_total
+
 FEATURES = ("s_achieved", "rho_hat", "score_concentration", "lid", "centroid_dist")
 
 
@@ -113,8 +115,7 @@ def calibrate_mixture(rows: DataFrame, target: float, unit: str = "u") -> tuple[
     base = next(r for r in per if r.budget_index == low)
     gain = F.sum(F.when(F.col("budget_index") == high, F.col("success").cast("double")).when(F.col("budget_index") == low, -F.col("success").cast("double")).otherwise(0.0))
     gains = rows.groupBy("query_id", unit).agg(gain.alias("gain"))
-    order = Window.partitionBy(F.lit(1)).orderBy(unit, "query_id")  # one row per query of a calibration set
-    run = gains.withColumn("before", F.coalesce(F.sum("gain").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    run = running_total(gains, [unit, "query_id"], "gain", "before")
     met = run.where(F.col("before") >= target * base.n - base.wins - 1e-9).agg(F.min(unit)).first()[0]
     return low, high, 1.0 if met is None else met
 

@@ -7,10 +7,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import special
+from halyard.operators.ranks import running_total
 
 #: Resamples drawn at a time, which bounds a group's memory.
 BOOTSTRAP_STEP = 250
@@ -47,16 +48,11 @@ def poisson_bootstrap(df: DataFrame, keys: list[str], id_col: str, value_col: st
     return drawn.groupBy(*keys, "resample").agg(F.when(total > 0, F.sum(F.col("w") * F.col(value_col)) / F.when(total > 0, total)).alias("mean"))
 
 
-def average_rank(column: str, partition: list[str]) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    own = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(1))
-    tied = Window.partitionBy(*partition, column) if partition else Window.partitionBy(column)
-    return F.rank().over(own.orderBy(column)) + (F.count(F.lit(1)).over(tied) - 1) / 2.0
-
-
 def _rank_table(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Average rank of each distinct value, from counts: only distinct values are ordered."""
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
+    if not keys:
+        return running_total(counts, [column], "n", "_before").withColumn("rank", F.col("_before") + (F.col("n") + 1) / 2.0).drop("_before")
     order = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("rank", F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.col("n") + 1) / 2.0)
 
@@ -71,6 +67,28 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return moments.select(*keys, "n", F.when(usable, F.col("cov") / F.when(usable, F.col("sx") * F.col("sy"))).alias("rho"))
 
 
+def bootstrap_spearman(df: DataFrame, keys: list[str], cluster: str, x: str, y: str, resamples: int = 500, ci: float = 0.95, seed: int = 0) -> DataFrame:
+    """keys, rho, low, high: rank correlation with an interval from resampling whole clusters (queries)."""
+
+    def rho(a: np.ndarray, b: np.ndarray) -> float:
+        ra, rb = pd.Series(a).rank().to_numpy(), pd.Series(b).rank().to_numpy()
+        return float(np.corrcoef(ra, rb)[0, 1]) if len(a) >= 3 and ra.std() > 0 and rb.std() > 0 else float("nan")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([cluster, x, y], kind="stable")
+        members = [g.index.to_numpy() for _, g in pdf.reset_index(drop=True).groupby(cluster)]
+        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        draw = np.random.default_rng(seed)
+        found = [rho(a[i], b[i]) for i in (np.concatenate([members[j] for j in draw.integers(0, len(members), len(members))]) for _ in range(resamples))]
+        found = [f for f in found if f == f]
+        low, high = np.percentile(found, [50 * (1 - ci), 50 * (1 + ci)]) if found else (None, None)
+        value = rho(a, b)
+        return pdf[keys].head(1).assign(rho=value if value == value else None, low=low, high=high)
+
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", rho double, low double, high double"
+    return df.select(*keys, cluster, x, y).groupBy(*keys).applyInPandas(one, schema)
+
+
 def sign_counts(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
     return df.groupBy(*keys).agg(count(F.col(a) < F.col(b))("less"), count(F.col(a) > F.col(b))("greater"), count(F.col(a) == F.col(b))("ties"))
@@ -179,3 +197,16 @@ def calibrate_clusters(measures: DataFrame, kappa_min: float, d_min: float = 3.0
     near = eligible & (F.col("least_kappa") >= F.max(F.when(eligible, F.col("least_kappa"))).over(best) - slack)
     chosen = F.col("clusters") == F.max(F.when(F.col("near"), F.col("clusters"))).over(best)
     return per.withColumn("near", near).select("clusters", "least_kappa", eligible.alias("eligible"), F.coalesce(chosen, F.lit(False)).alias("chosen"))
+
+
+def correlation_criteria(structure: DataFrame) -> DataFrame:
+    """structure: correlation, s, k, queries, density_mean, dispersion, homophily.  The first form of the
+    test of attributes, kept for the record: a random attribute disperses like chance (index 0.5 to 2)
+    around s (within four standard errors) without homophily; a clustered one disperses at least
+    three times and at least twice as much as the random one at the same s."""
+    random = structure.where("correlation = 'random'").select("s", "k", F.col("dispersion").alias("random_dispersion"), F.col("homophily").alias("random_homophily"))
+    both = structure.join(random, ["s", "k"])
+    error = F.sqrt(F.col("s") * (1 - F.col("s")) / (F.col("k") * F.col("queries")))
+    ok_random = F.col("dispersion").between(0.5, 2) & (F.abs(F.col("density_mean") - F.col("s")) <= 4 * error)
+    ok_clustered = (F.col("dispersion") >= 3) & (F.col("dispersion") >= 2 * F.col("random_dispersion")) & (F.col("homophily") > F.col("random_homophily"))
+    return both.withColumn("accepted", F.when(F.col("correlation") == "random", ok_random).otherwise(ok_clustered))

@@ -6,7 +6,10 @@ of row hashes, so no row order has to be restored and nothing is gathered.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import platform
+import time
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,3 +126,24 @@ def select_manifest(conditions: DataFrame, levels=None, realizations=None, selec
         names = F.create_map(*[F.lit(x) for pair in renames.items() for x in pair])
         out = out.withColumn("condition", F.coalesce(names[F.col("condition")], F.col("condition")))
     return out
+
+
+def file_digest(path: str, chunk: int = 4 << 20) -> str:
+    """SHA-256 of a local file, read in chunks."""
+    h = hashlib.sha256()
+    with open(path, "rb") as f:
+        while block := f.read(chunk):
+            h.update(block)
+    return h.hexdigest()
+
+
+def run_header(spark: SparkSession, stage: str, **more) -> dict:
+    """What a run record starts with: a UTC stamp, versions and the machine."""
+    stamp = time.strftime("%Y%m%dT%H%M%SZ", time.gmtime())
+    return {"run_id": stamp, "stage": stage, "spark": spark.version, "python": platform.python_version(), "machine": platform.machine(), "cores": spark.sparkContext.defaultParallelism, **more}
+
+
+def markdown(df: DataFrame, limit: int = 100) -> str:
+    """A report table as text: the first rows only, it is for reading."""
+    rows = [[str(v) for v in r] for r in df.limit(limit).collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["-"] * len(df.columns), *rows])

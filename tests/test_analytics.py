@@ -235,3 +235,20 @@ def test_checks(spark):
     ids = _df(spark, "c int, h string", [(1, "a"), (2, "b"), (3, "a")])
     assert tuple(checks.swap_rejection(ids, ["h"]).first()) == (6, 2)
     assert checks.repeatable(lambda: spark.range(10))
+
+
+def test_structure_record_and_criteria(spark):
+    near = _lists(spark, [[0, 1, 2, 3], [4, 5, 6, 7]])
+    edges = _df(spark, "src long, pos int, dst long", [(u, p, (u + p + 1) % 8) for u in range(8) for p in range(3)])
+    base = _df(spark, "vec_id long, cluster int", [(i, i // 4) for i in range(8)])
+    row = metrics.structure_record(near, edges, base, _passing(spark, [1, 1, 1, 0, 0, 0, 0, 0]), "cluster", 4, 2).first()
+    assert (row["mean"], row.zero_fraction, row.partial_clusters, row.s_achieved, row.homophily) == (0.375, 0.5, 1, 0.375, 0.5)
+    s = _df(spark, "correlation string, s double, k int, queries int, density_mean double, dispersion double, homophily double", [("random", 0.1, 100, 50, 0.1, 1.0, 0.1), ("clustered", 0.1, 100, 50, 0.1, 9.0, 0.7)])
+    assert statistics.correlation_criteria(s).where("accepted").count() == 2
+    assert statistics.correlation_criteria(s.withColumn("dispersion", F.lit(2.5))).where("accepted").count() == 0
+
+
+def test_bootstrap_spearman(spark):
+    d = _df(spark, "m string, q long, x double, y double", [("a", q, float(q + c), float(q * 2 - c)) for q in range(30) for c in range(2)] + [("b", q, 1.0, float(q)) for q in range(5)])
+    rows = {r.m: r for r in statistics.bootstrap_spearman(d, ["m"], "q", "x", "y", 60).collect()}
+    assert 0.9 < rows["a"].low <= rows["a"].high <= 1 and rows["a"].rho > 0.9 and rows["b"].rho is None

@@ -175,3 +175,34 @@ def test_single_row_index(spark):
     queries = _queries(spark, [([1, 2], 0)])
     index = graph_search.build_index(base)
     assert index.count() == 0 and graph_search.search_index(base, index, queries, 3, 10).first().neighbor_id == 0
+
+
+def test_saved_index(spark, tmp_path):
+    base = _vectors(spark, [([i, i * i], 0) for i in range(30)])
+    index = graph_search.build_index(base, m=4)
+    graph_search.save_index(index, str(tmp_path), {"kind": "hnsw", "m": 4}, 30)
+    again = graph_search.load_index(spark, str(tmp_path), {"kind": "hnsw", "m": 4}, 30)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, index.collect()))
+    for parameters, rows in (({"kind": "acorn", "m": 4}, 30), ({"kind": "hnsw", "m": 4}, 31)):
+        with pytest.raises(ValueError):
+            graph_search.load_index(spark, str(tmp_path), parameters, rows)
+
+
+def test_running_total(spark):
+    from halyard.operators.ranks import running_total
+
+    df = spark.range(200).repartition(5).withColumn("v", F.col("id") % 7)
+    got = [r.before for r in running_total(df, ["id"], "v", "before").orderBy("id").collect()]
+    assert got == [sum(i % 7 for i in range(j)) for j in range(200)]
+
+
+def test_grids_and_draws(spark):
+    assert conditions.budget_grid((10, 30, 10), (20, 100, 40)) == [10, 20, 30, 60, 100]
+    ids = spark.range(2000).withColumnRenamed("id", "vec_id")
+    n = conditions.null_draws(ids, 5, 0.3, 1).groupBy("draw").count().collect()
+    assert len(n) == 5 and all(abs(r["count"] - 600) < 100 for r in n)
+    u = [r.u for r in ids.select(conditions.unit_column("vec_id", 3).alias("u")).collect()]
+    assert 0 <= min(u) and max(u) < 1 and abs(sum(u) / 2000 - 0.5) < 0.05
+    grid = conditions.fragmentation_grid(spark, {"a": 5}, 2, [1.0], 10)
+    attributes = spark.createDataFrame([("a", 0, "c1", "h1"), ("a", 1, "c2", "h1")], "level string, realization int, cluster_hash string, attribute_hash string")
+    assert tuple(conditions.grid_problems(grid, attributes).first()) == (1, 1, 0)

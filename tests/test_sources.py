@@ -91,3 +91,10 @@ def test_cached_csv_json_manifest(spark, tmp_path):
 def test_neighbour_tables(spark, tmp_path):
     tables.write_neighbours(spark.createDataFrame([(1, 1, 5, 0.5)], schemas.NEIGHBOURS), f"{tmp_path}/n")
     assert tables.read_neighbours(spark, f"{tmp_path}/n").count() == 1
+
+
+def test_run_record_pieces(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"abc")
+    assert tables.file_digest(str(tmp_path / "f"), 2) == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    assert tables.run_header(spark, "sweep", k=10)["k"] == 10
+    assert tables.markdown(spark.createDataFrame([(1, "a")], "x int, y string")).splitlines()[2] == "| 1 | a |"
