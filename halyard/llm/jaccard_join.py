@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from halyard.llm import cluster
 from halyard.llm.components import connected_components
 from halyard.llm.substring_dedup import _pack, _unpack
-from halyard.llm.text import mix, range_hash, words_of
+from halyard.llm.text import mix, range_hash, release, words_of
 
 SHINGLE = 4
 #: Documents link when 100 * intersection >= PERCENT * union.
@@ -111,6 +111,7 @@ def _count_send(k: int, buckets: int):
             out = list(_Shares(_Sets(docs["text"], k), buckets).blobs())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([c] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "chunk", "blob"])
+            release()
 
     return of_partition
 
@@ -132,6 +133,7 @@ def _count_answer(table: pa.Table) -> pa.Table:
     for a, b in zip(edge[:-1], edge[1:]):
         common = np.flatnonzero(held[a:b] > 1).astype(np.int32)
         out.append(_pack(step=np.diff(common, prepend=np.int32(0)), n=np.minimum(held[a:b][common], 0xFFFFFFFF).astype(np.uint32)))
+    release()
     return pa.table([table["chunk"], table["bucket"], pa.array(out, pa.binary())], ["chunk", "bucket", "blob"])
 
 
@@ -185,6 +187,7 @@ def _place(k: int, buckets: int, percent: int):
             member = np.unique(doc)
             blobs = [sets.h[sets.first[d] : sets.first[d + 1]].tobytes() for d in member.tolist()]
             out.append(_table("set", [None] * len(member), sets.size[member], [points[d] for d in member.tolist()], c, [None] * len(member), blobs))
+        release()
         return pa.concat_tables(out)
 
     return of_chunk
@@ -326,6 +329,7 @@ def _join_regions(percent: int):
                 if root != j:
                     out_u.append(point[i])
                     out_v.append(point[rows[root]])
+        release()
         return pa.table([pa.array(out_u, pa.binary()), pa.array(out_v, pa.binary())], ["u", "v"])
 
     return of_group

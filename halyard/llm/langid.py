@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halyard.llm import cluster
-from halyard.llm.text import flat_bytes, mix
+from halyard.llm.text import flat_bytes, mix, release
 
 N = 4
 SLOTS_LOG2 = 21
@@ -180,6 +180,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang: st
             for piece in _slices(batch, at):
                 said, sure = model.decide(piece.column(at))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(said, pa.string()), pa.array(sure, pa.float64())], names)
+        release()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(of_partition, schema)

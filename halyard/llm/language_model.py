@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import cluster
 from halyard.llm.substring_dedup import _pack, _unpack
-from halyard.llm.text import Words, as_binary, flat_bytes, range_hash, words_of
+from halyard.llm.text import Words, as_binary, flat_bytes, range_hash, release, words_of
 
 HEAD = 1024
 HEAD_CLASSES = 32
@@ -110,6 +110,7 @@ def _send(buckets: int):
             out = list(_Vocabulary(docs, buckets).blobs())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([c] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "chunk", "blob"])
+            release()
 
     return of_partition
 
@@ -209,6 +210,7 @@ def _code(vocabulary, buckets: int):
         at = first + np.arange(len(first))
         blob = [codes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         n = own.words.counts()
+        release()
         return pa.table(
             [docs["id"].cast(pa.int64()), docs["chunk"].cast(pa.int32()), docs["train"].cast(pa.bool_()), pa.array(n + 1, pa.int64()), pa.array(sums((count > 0).astype(np.int64)).astype(np.int64) + int(end_count > 0), pa.int64()), pa.array(sums(base) + end_base, pa.float64()), pa.array(sums(fixed), pa.float64()), pa.array(blob, pa.binary())],
             ["id", "chunk", "train", "n_tokens", "n_known", "base_score", "fixed", "codes"],
@@ -457,6 +459,7 @@ def _train_partition(vocabulary, weights):
             v = vocabulary.value
             model = Model(v).load(weights.value)
             seen = train(model, docs, v.code.get(END, 0))
+            release()
             yield pa.RecordBatch.from_arrays([pa.array([model.blob()], pa.binary()), pa.array([float(seen)])], ["blob", "seen"])
 
     return of_partition
@@ -483,6 +486,7 @@ def _score_partition(vocabulary, weights):
         fixed = table["fixed"].to_numpy() if v.words else table["base_score"].to_numpy()
         out = table.select(["id", "train", "n_tokens", "n_known", "base_score"]).append_column("score", pa.array(score + fixed))
         yield from out.to_batches()
+        release()
 
     return of_partition
 

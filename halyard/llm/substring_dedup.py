@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import cluster
-from halyard.llm.text import Words, as_binary, mix, range_hash, words_of
+from halyard.llm.text import Words, mix, range_hash, release, words_of
 
 WINDOW = 13
 MINIMISER = 3
@@ -132,6 +132,7 @@ def _send(k: int, m: int, buckets: int):
             out = list(_Chunk(table.take(pa.array(np.flatnonzero(chunk == c))), k, m, buckets).blobs())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([int(c)] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "chunk", "blob"])
+            release()
 
     return of_partition
 
@@ -201,6 +202,7 @@ def _answer(k: int):
             if len(part):
                 out_chunk.append(int(chunk[entry[part[0]]]))
                 out.append(_pack(index=index[entry[part]], offset=offset[s[part]].astype(np.int32), length=length[part].astype(np.int32), value=value[s[part]]))
+        release()
         return pa.table([pa.array(out_chunk, pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array(out, pa.binary())], ["chunk", "bucket", "blob"])
 
     return of_bucket
@@ -230,6 +232,7 @@ def _apply(k: int, m: int, buckets: int, digest: bool):
             else:
                 text = b" ".join([raw[words.start[i] : words.end[i]] for i in (a + np.flatnonzero(~gone[a:b])).tolist()])
             kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
+        release()
         return pa.table([chunk.table["id"].cast(pa.int64()), pa.array(words.counts(), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     return of_chunk

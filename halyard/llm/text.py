@@ -7,6 +7,7 @@ array operations rather than a Python object.  Words are maximal runs of bytes o
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,15 @@ _LOWER[0x41:0x5B] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give memory that is free again back to the system, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64; kept for the next batch."""
     have = _powers.get(base)

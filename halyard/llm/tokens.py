@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm import cluster
-from halyard.llm.text import as_binary, flat_bytes
+from halyard.llm.text import as_binary, flat_bytes, release
 
 MAGIC = int.from_bytes(b"tokparts", "little")
 FILE_TOKENS = 4 << 20
@@ -50,7 +50,7 @@ class Encoder:
     each distinct piece of a batch is encoded once, and the first ``REMEMBER`` pieces a worker meets
     (the frequent ones among them) are kept with their ids."""
 
-    REMEMBER = 600_000
+    REMEMBER = 200_000
     TOGETHER = 500
 
     def __init__(self, path: str):
@@ -187,8 +187,10 @@ def _write_partition(tokenizer_path: str, end_id: int, file_tokens: int):
                 at = to
                 if held >= file_tokens:
                     yield flush()
+                    release()
         if held:
             yield flush()
+        release()
 
     return of_partition
 
