@@ -12,11 +12,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.vectors import distances_between, matrix
-from halyard.operators.nearest import STEP_CELLS, nearest, query_blocks
+from halyard.operators.nearest import STEP_CELLS, best, nearest, query_blocks
 from halyard.session import written
 
 
@@ -39,44 +39,78 @@ def schedule(k: int, s: float, n: int, max_rounds: int, alpha: float = 1.0, grow
     return out
 
 
-def _count_before(block, found):
-    """Rows of each task that come before (or at) the given neighbours."""
+def _search_under(block, k: int, conditions: int):
+    """The k nearest of each query under each of several predicates; distances are computed once."""
 
     def of_partition(batches):
         q_ids, q_vectors, _ = block.value
-        d_of, i_of = found.value  # (queries, k), padded with infinity
+        kept = [[np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)] for _ in range(conditions)]
+        for batch in batches:
+            step = max(1, STEP_CELLS // max(1, len(q_ids)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids = part.column(0).to_numpy()
+                d = distances_between(q_vectors, matrix(part.column(1)))
+                passes = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), conditions).astype(bool)
+                for c in range(conditions):
+                    rows = np.flatnonzero(passes[:, c])
+                    q, j = np.divmod(np.arange(len(q_ids) * len(rows)), max(1, len(rows)))
+                    found = [np.concatenate(x) for x in zip(kept[c], (q, d[:, rows].ravel(), ids[rows][j]))]
+                    keep = best(*found, k)
+                    kept[c] = [x[keep] for x in found]
+        for c, (q, dist, i) in enumerate(kept):
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), c, np.int32)), pa.array(q_ids[q]), pa.array(i), pa.array(dist)], ["condition_index", "query_id", "neighbor_id", "distance"])
+
+    return of_partition
+
+
+def _count_under(block, found):
+    def of_partition(batches):
+        q_ids, q_vectors, _ = block.value
+        d_of, i_of = found.value  # (conditions, queries, k), padded with infinity
         total = np.zeros(d_of.shape, np.int64)
         for batch in batches:
-            step = max(1, STEP_CELLS // max(1, d_of.size))
+            step = max(1, STEP_CELLS // max(1, len(q_ids)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids = part.column(0).to_numpy()
                 d = distances_between(q_vectors, matrix(part.column(1)))
-                for j in range(d_of.shape[1]):
-                    before = (d < d_of[:, j, None]) | ((d == d_of[:, j, None]) & (ids[None, :] <= i_of[:, j, None]))
-                    total[:, j] += before.sum(axis=1)
-        q, j = np.nonzero(np.isfinite(d_of))
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array((j + 1).astype(np.int32)), pa.array(total[q, j])], ["query_id", "rank", "place"])
+                for c, j in np.ndindex(d_of.shape[0], d_of.shape[2]):
+                    limit, tie = d_of[c, :, j, None], i_of[c, :, j, None]
+                    total[c, :, j] += ((d < limit) | ((d == limit) & (ids[None, :] <= tie))).sum(axis=1)
+        c, q, j = np.nonzero(np.isfinite(d_of))
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(q_ids[q]), pa.array((j + 1).astype(np.int32)), pa.array(total[c, q, j])], ["condition_index", "query_id", "rank", "place"])
 
     return of_partition
 
 
-def passing_places(base: DataFrame, queries: DataFrame, k: int, predicate) -> DataFrame:
-    """query_id, rank, neighbor_id, distance of the k nearest passing rows, and place: the position
-    of each (from 1) in the order of all rows."""
+def places_under(base: DataFrame, queries: DataFrame, k: int, predicates: list) -> DataFrame:
+    """``passing_places`` for several predicates at once: condition_index, query_id, rank, neighbor_id,
+    distance, place.  Two passes over the base serve all of them."""
     spark = base.sparkSession
-    own = base.select("vec_id", "embedding")
-    near = written(nearest(base.where(predicate), queries, k))
-    parts = []
+    own = written(base.select("vec_id", "embedding", F.array(*[F.coalesce(p, F.lit(False)) for p in predicates]).alias("passes")))
+    order = Window.partitionBy("condition_index", "query_id").orderBy("distance", "neighbor_id")
+    near, counts = [], []
     for block in query_blocks(queries, None):
         ids = block.value[0]
         row = {int(q): r for r, q in enumerate(ids.tolist())}
-        d, i = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1)
-        for q, rank, neighbour, distance in near.join(F.broadcast(spark.createDataFrame([(int(x),) for x in ids], "query_id bigint")), "query_id").select("query_id", "rank", "neighbor_id", "distance").collect():
-            d[row[q], rank - 1], i[row[q], rank - 1] = distance, neighbour
-        counts = own.mapInArrow(_count_before(block, spark.sparkContext.broadcast((d, i))), "query_id bigint, rank int, place bigint")
-        parts.append(counts.groupBy("query_id", "rank").agg(F.sum("place").alias("place")))
-    return near.join(reduce(DataFrame.unionByName, parts), ["query_id", "rank"]) if parts else near.withColumn("place", F.lit(None).cast("bigint"))
+        found = own.mapInArrow(_search_under(block, k, len(predicates)), "condition_index int, query_id bigint, neighbor_id bigint, distance double")
+        found = written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        d, i = np.full((len(predicates), len(ids), k), np.inf), np.full((len(predicates), len(ids), k), -1)
+        for r in found.collect():  # conditions x a block of queries x k rows
+            d[r.condition_index, row[r.query_id], r["rank"] - 1], i[r.condition_index, row[r.query_id], r["rank"] - 1] = r.distance, r.neighbor_id
+        near.append(found)
+        part = own.select("vec_id", "embedding").mapInArrow(_count_under(block, spark.sparkContext.broadcast((d, i))), "condition_index int, query_id bigint, rank int, place bigint")
+        counts.append(part.groupBy("condition_index", "query_id", "rank").agg(F.sum("place").alias("place")))
+    keys = ["condition_index", "query_id", "rank"]
+    return reduce(DataFrame.unionByName, near).join(reduce(DataFrame.unionByName, counts), keys)
+
+
+def passing_places(base: DataFrame, queries: DataFrame, k: int, predicate) -> DataFrame:
+    """query_id, rank, neighbor_id, distance of the k nearest passing rows, and place: the position
+    of each (from 1) in the order of all rows."""
+    return places_under(base, queries, k, [predicate]).drop("condition_index")
 
 
 def postfilter_effort(base: DataFrame, queries: DataFrame, k: int, predicate, s: float, max_rounds: int = 8, alpha: float = 1.0, growth: float = 2.0) -> DataFrame:

@@ -47,23 +47,18 @@ def grid(spark: SparkSession, w: Workload) -> DataFrame:
 def sweep(spark: SparkSession, w: Workload) -> DataFrame:
     """One row per condition, method, budget and query: recall and effort of searches in exact order
     that look at the first ``budget`` rows (post) or at the passing rows only (pre)."""
-    parts = []
-    for c in grid(spark, w).collect():  # four conditions
-        own = written(ranked(w, c.correlation))
-        places = overfetch.passing_places(own, w.queries, K, F.col("rank") < c.threshold)
-        places = places.groupBy("query_id").agg(F.collect_list("place").alias("places"))
-        rows = w.queries.select("query_id").join(places, "query_id", "left")
-        within = F.size(F.filter(F.coalesce("places", F.array().cast("array<bigint>")), lambda p: p <= F.col("budget")))
-        post = rows.withColumn("budget", F.explode(F.array(*map(F.lit, BUDGETS)))).select(
-            F.lit("post").alias("method"), "budget", "query_id", (within / F.lit(float(K))).alias("recall"), F.least("budget", F.lit(w.n)).cast("bigint").alias("dist_exact")
-        )
-        pre = rows.select(F.lit("pre").alias("method"), F.lit(0).alias("budget"), "query_id", F.lit(min(1.0, c.threshold / K)).alias("recall"), F.lit(c.threshold).cast("bigint").alias("dist_exact"))
-        both = pre.unionByName(post)
-        parts.append(both.select(F.lit(c.condition).alias("condition"), F.lit(c.correlation).alias("correlation"), F.lit(c.s_achieved).alias("s_achieved"), F.lit(c.threshold).alias("threshold"), "method", "budget", "query_id", "recall", "dist_exact", F.col("dist_exact").alias("dist_native")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return written(out)
+    conds = grid(spark, w).orderBy("condition").collect()  # four conditions
+    both = ranked(w).withColumnRenamed("rank", "random").join(ranked(w, "clustered").select("vec_id", F.col("rank").alias("clustered")), "vec_id")
+    places = overfetch.places_under(both, w.queries, K, [F.col(c.correlation) < c.threshold for c in conds])
+    places = places.groupBy("condition_index", "query_id").agg(F.collect_list("place").alias("places"))  # K numbers
+    named = spark.createDataFrame([(i, c.condition, c.correlation, c.s_achieved, c.threshold) for i, c in enumerate(conds)], "condition_index int, condition string, correlation string, s_achieved double, threshold bigint")
+    cells = w.queries.select("query_id").withColumn("condition_index", F.explode(F.sequence(F.lit(0), F.lit(len(conds) - 1))))
+    rows = cells.join(places, ["condition_index", "query_id"], "left").join(F.broadcast(named), "condition_index")
+    within = F.size(F.filter(F.coalesce("places", F.array().cast("array<bigint>")), lambda p: p <= F.col("budget")))
+    post = rows.withColumn("method", F.lit("post")).withColumn("budget", F.explode(F.array(*map(F.lit, BUDGETS)))).withColumn("recall", within / F.lit(float(K))).withColumn("dist_exact", F.least("budget", F.lit(w.n)).cast("bigint"))
+    pre = rows.withColumn("method", F.lit("pre")).withColumn("budget", F.lit(0)).withColumn("recall", F.least(F.lit(1.0), F.col("threshold") / F.lit(float(K)))).withColumn("dist_exact", F.col("threshold"))
+    out = pre.unionByName(post).withColumn("dist_native", F.col("dist_exact"))
+    return written(out.select("condition", "correlation", "s_achieved", "threshold", "method", "budget", "query_id", "recall", "dist_exact", "dist_native"))
 
 
 def oracles(sweeps: DataFrame, target: float = 0.9) -> DataFrame:
