@@ -15,42 +15,54 @@ from pyspark.sql import functions as F
 
 from halyard.llm import cluster, decontaminate, jaccard_join, langid, mixing, tokens
 from halyard.llm.queries import fold
-from halyard.session import read_table
+from halyard.session import read_table, ship_package
 
 #: A text of at least this many characters whose score is below this is in no learned language.
 LONG_CHARS, LEAST_SCORE = 200, 0.2
 
 
+def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of documents, in their order."""
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: goes what has no letter, and long texts hardly any of whose
     n-grams the filters know."""
+    ship_package(spark)
     filters = langid.fit(docs.where(fold("doc_id", 4) != 2))
-    said = langid.identify(docs, filters, lang="said_lang", score="said_score")
-    unclear = (F.length("text") >= LONG_CHARS) & (F.col("said_score") < LEAST_SCORE)
-    return said.where((F.col("said_lang") != "und") & ~unclear).select(*docs.columns)
+    lang, score = cluster.unused(docs, "said_lang", "said_score")
+    said = langid.identify(docs, filters, lang=lang, score=score)
+    unclear = (F.length("text") >= LONG_CHARS) & (F.col(score) < LEAST_SCORE)
+    return _as(docs, said.where((F.col(lang) != "und") & ~unclear))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by Jaccard similarity, the one with the smallest id."""
+    ship_package(spark)
     found = jaccard_join.jaccard_components(docs)
     copies = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return _as(docs, docs.join(copies, "doc_id", "left_anti"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    ship_package(spark)
     found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
     hit = found.where("n_hit > 0").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return _as(docs, docs.join(hit, "doc_id", "left_anti"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies by the square root of the sources' sizes, in global random order."""
-    return mixing.poisson_mix(docs, size=F.length(F.coalesce("text", F.lit(""))), temperature=0.5, total=1.0, seed=17).select(*docs.columns)
+    ship_package(spark)
+    copy, copies, key = cluster.unused(docs, "copy", "n_copies", "shuffle_key")
+    return _as(docs, mixing.poisson_mix(docs, size=F.length(F.coalesce("text", F.lit(""))), temperature=0.5, total=1.0, seed=17, copy=copy, copies=copies, key=key))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files of all copies; a row for each, read back from the files."""
+    ship_package(spark)
     import public_tokenizers
 
     path = cluster.shared_dir(spark)

@@ -309,6 +309,19 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     assert len(corpus_pipeline.run(spark, sf_dir).collect()) == len(out)
 
 
+def test_stages_awkward(spark, awkward, nothing, sf_dir):
+    import corpus_pipeline
+
+    docs = awkward.withColumn("said_lang", F.lit("kept"))
+    for docs in (docs, docs.where("false")):
+        left = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = cluster.saved(stage(spark, left, sf_dir))
+            assert left.columns == docs.columns, name
+            assert left.where("said_lang <> 'kept' or chunk < 0").count() == 0
+        assert corpus_pipeline.STAGES[-1][1](spark, left, sf_dir).count() == left.count()
+
+
 def test_folds_use_crc32(spark):
     rows = spark.createDataFrame([(0,), (17,), (None,)], "doc_id long").select("doc_id", queries.fold("doc_id", 4).alias("f")).collect()
     assert all(r.f == fold(r.doc_id, 4) for r in rows)
