@@ -349,6 +349,33 @@ def wcc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachability.weak_components(_passing(w), steps).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
+_STRONG = "comp AS (SELECT x.a AS node, max(x.b) AS component FROM full_reach x JOIN full_reach z ON z.a = x.b AND z.b = x.a GROUP BY x.a)"
+_WEAK = ("both_ways AS (SELECT src, dst FROM ind UNION SELECT dst, src FROM ind)", "weak AS (SELECT vec_id AS a, vec_id AS b FROM ok UNION SELECT a, both_ways.dst FROM weak JOIN both_ways ON both_ways.src = b)", "wcomp AS (SELECT a, min(b) AS component FROM weak GROUP BY a)")
+
+
+@query(_with(_SELF, _EDGES, _PASS, _GRAPH_STEPS, _INDUCED, _ALL, _STRONG) + " SELECT DISTINCT p.component AS src, q.component AS dst FROM ind JOIN comp p ON p.node = ind.src JOIN comp q ON q.node = ind.dst WHERE p.component <> q.component")
+def condensation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = workload.load(spark, sf_dir)
+    steps = reachability.induced(_steps(w), _passing(w))
+    return reachability.condensation(steps, reachability.strong_components(_passing(w), steps))
+
+
+@query(_with(_SELF, _EDGES, _PASS, _GRAPH_STEPS, _INDUCED, _ALL, _STRONG, *_WEAK) + """, s AS (SELECT component, count(*) AS n FROM comp GROUP BY component), v AS (SELECT component, count(*) AS n FROM wcomp GROUP BY component)
+SELECT (SELECT count(*) FROM ok) AS nodes, (SELECT count(*) FROM ind) AS edges, (SELECT count(*) FROM s) AS sccs, (SELECT max(n) FROM s) AS largest_scc, (SELECT min(component) FROM s WHERE n = (SELECT max(n) FROM s)) AS largest_member, (SELECT count(*) FROM v) AS wccs, (SELECT max(n) FROM v) AS largest_wcc""")
+def component_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = workload.load(spark, sf_dir)
+    nodes, steps = _passing(w), reachability.induced(_steps(w), _passing(w))
+    return reachability.component_statistics(nodes, steps, reachability.strong_components(nodes, steps), reachability.weak_components(nodes, steps))
+
+
+@query(_with(_SELF, _EDGES, _PASS, _SHARE, _Q, _PAIRS, _ORDERED, _NEAR, _DENSITY) + """, c AS (SELECT (SELECT count(*) FROM ok) / count(*)::DOUBLE AS s FROM embeddings)
+SELECT round(s, 9) AS s_achieved, round((SELECT avg(local_density) FROM dens), 6) AS mean, round((SELECT avg((local_density = 0)::INTEGER) FROM dens), 6) AS zero_fraction, round(((SELECT avg(share) FROM share) - s) / (1 - s), 6) AS kappa, 0::BIGINT AS partial_clusters FROM c""")
+def structure_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = workload.load(spark, sf_dir)
+    row = metrics.structure_record(nearest.nearest(w.base, w.queries, 50), workload.edges(w), w.base, _passing(w), "label", 50, 8)
+    return row.select(F.round("s_achieved", 9).alias("s_achieved"), F.round("mean", 6).alias("mean"), F.round("zero_fraction", 6).alias("zero_fraction"), F.round("kappa", 6).alias("kappa"), F.col("partial_clusters").cast("bigint").alias("partial_clusters"))
+
+
 # ---- approximate search (rows only: no SQL walks a graph best-first)
 
 
@@ -539,6 +566,12 @@ def lower_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.lower_quantile(d, "x", 0.9, ["label"]), "quantile")
 
 
+@query("SELECT label, round(any_value(x), 6) AS median FROM (SELECT label, embedding[1]::DOUBLE AS x, row_number() OVER (PARTITION BY label ORDER BY embedding[1]) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE i = n // 2 GROUP BY label")
+def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = workload.load(spark, sf_dir).base.select("label", F.col("embedding")[0].cast("double").alias("x"))
+    return _rounded(metrics.upper_median(d, "x", ["label"]), "median")
+
+
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = workload.load(spark, sf_dir).base.select("label", F.col("embedding")[0].cast("double").alias("x"))
