@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import cluster
 from halyard.llm.substring_dedup import _pack, _unpack
-from halyard.llm.text import Words, as_binary, flat_bytes, range_hash, release, words_of
+from halyard.llm.text import Words, as_binary, flat_bytes, in_order, range_hash, release, words_of
 
 HEAD = 1024
 HEAD_CLASSES = 32
@@ -64,6 +64,7 @@ class _Vocabulary:
     """The distinct tokens of a chunk by bucket, and its documents as indexes into them."""
 
     def __init__(self, docs: pa.Table, buckets: int):
+        docs = self.docs = in_order(docs)
         self.words: Words = words_of(docs["text"], lower=True)
         w = self.words
         self.train = docs["train"].to_numpy(zero_copy_only=False).astype(bool)
@@ -189,6 +190,7 @@ def _code(vocabulary, buckets: int):
     def of_chunk(docs: pa.Table, answers: pa.Table) -> pa.Table:
         v: Vocabulary = vocabulary.value
         own = _Vocabulary(docs, buckets)
+        docs = own.docs
         count = np.zeros(len(own.begin), np.float64)
         for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist()):
             count[own.order[own.edges[b] : own.edges[b + 1]]] = _unpack(blob, np.uint64)[0]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import cluster
-from halyard.llm.text import Words, mix, range_hash, release, words_of
+from halyard.llm.text import Words, in_order, mix, range_hash, release, words_of
 
 WINDOW = 13
 MINIMISER = 3
@@ -56,9 +56,8 @@ class _Chunk:
     """The documents of a chunk in id order, and their packed strings without repetition."""
 
     def __init__(self, table: pa.Table, k: int, m: int, buckets: int):
-        ids = pc.fill_null(table["id"], pa.scalar(NO_ID, pa.int64())).to_numpy()
-        order = np.argsort(ids, kind="stable")
-        self.table, self.ids = table.take(pa.array(order)), ids[order]
+        self.table = in_order(table.select(["id", "text"]))
+        self.ids = pc.fill_null(self.table["id"], pa.scalar(NO_ID, pa.int64())).to_numpy()
         self.words = words = words_of(self.table["text"])
         self.k = k
         n = len(words.start)

@@ -92,6 +92,12 @@ def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """The rows by id (nulls last) and text.  Rows reach a task in any order, and what two passes over
+    a chunk number alike must not depend on it."""
+    return table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")], null_placement="at_end"))
+
+
 @dataclass
 class Words:
     """The words of a batch.  ``data`` holds them in order, each followed by one space; word i is

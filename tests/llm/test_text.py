@@ -31,3 +31,14 @@ def test_hashes_do_not_depend_on_place():
 def test_null_and_empty_columns():
     assert len(words_of(pa.array([], pa.string())).start) == 0
     assert words_of(pa.array([None, ""], pa.string())).counts().tolist() == [0, 0]
+
+
+def test_rows_in_any_order_are_numbered_alike():
+    """Both passes over a chunk must agree on the numbers of strings and words."""
+    from halyard.llm.language_model import _Vocabulary
+    from halyard.llm.substring_dedup import _Chunk
+
+    table = pa.table({"id": pa.array([3, None, 1, 1, 2, None], pa.int64()), "text": ["a b c d", "e f g h", "c b a d", None, "h g f e b", "a"], "train": [True, False, True, True, False, True]})
+    shuffled = table.take(pa.array([5, 3, 0, 4, 2, 1]))
+    assert list(_Chunk(table, 3, 2, 2).blobs()) == list(_Chunk(shuffled, 3, 2, 2).blobs())
+    assert list(_Vocabulary(table, 3).blobs()) == list(_Vocabulary(shuffled, 3).blobs())
