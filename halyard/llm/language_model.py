@@ -46,7 +46,7 @@ TAIL_CLASSES = 32
 UNITS = 16
 EMBEDDING = 16
 WINDOW = 16
-LANES = 256
+LANES = 384
 ROUNDS = 2
 RATE = 0.01
 SMOOTHING = 0.1
