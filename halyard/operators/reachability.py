@@ -7,13 +7,16 @@ until nothing is new; nothing is gathered.
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.session import written
 
+#: Rings of a closure that are kept apart.
+COMPACT = 12
 GRAPH, SEM, CAP, UNFILTERED = "graph", "sem", "cap", "unfiltered"
 
 
@@ -95,14 +98,15 @@ def induced(steps: DataFrame, passing: DataFrame) -> DataFrame:
 def closure(steps: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node): all nodes reached from each seed by one step or more, and the seed itself."""
     steps = written(steps.select(F.col("src").alias("from_node"), "dst"))
-    known = written(seeds.select("seed", F.col("seed").alias("node")).distinct())
-    frontier = known
+    rings = [written(seeds.select("seed", F.col("seed").alias("node")).distinct())]
     while True:
-        next_nodes = frontier.join(steps, F.col("node") == F.col("from_node")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = written(next_nodes.join(known, ["seed", "node"], "left_anti"))
-        if not frontier.limit(1).count():
+        next_nodes = rings[-1].join(steps, F.col("node") == F.col("from_node")).select("seed", F.col("dst").alias("node")).distinct()
+        known = reduce(DataFrame.unionByName, rings)
+        ring = written(next_nodes.join(known, ["seed", "node"], "left_anti"))
+        if ring.isEmpty():
             return known
-        known = written(known.unionByName(frontier))
+        # the rings are files; they are put together now and then so that plans stay short
+        rings = [written(known), ring] if len(rings) == COMPACT else [*rings, ring]
 
 
 def reach_targets(steps: DataFrame, passing: DataFrame, targets: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ def weak_components(nodes: DataFrame, steps: DataFrame) -> DataFrame:
         closer = labels.join(seen, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("best", "component")).alias("label"))
         hop = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
         jumped = written(closer.join(hop, "label").select("node", F.least("label", "further").alias("component"), "old"))
-        if not jumped.where("old <> component").limit(1).count():
+        if jumped.where("old <> component").isEmpty():
             return labels
         labels = jumped.select("node", "component")
 
@@ -143,13 +147,13 @@ def strong_components(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     left_nodes = written(nodes.select(F.col("vec_id").alias("node")))
     left_steps = written(steps.select("src", "dst").where("src <> dst").distinct())
     done = None
-    while left_nodes.limit(1).count():
+    while not left_nodes.isEmpty():
         colour = written(left_nodes.select("node", F.col("node").alias("colour")))
         while True:
             best = left_steps.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("best"))
             moved = written(colour.join(best, F.col("node") == F.col("dst"), "left").select("node", F.greatest("colour", F.coalesce("best", "colour")).alias("colour"), (F.col("best") > F.col("colour")).alias("changed")))
             colour = moved.select("node", "colour")
-            if not moved.where("changed").limit(1).count():
+            if moved.where("changed").isEmpty():
                 break
         c = colour.select(F.col("node").alias("n"), "colour")
         same = left_steps.join(c.withColumnsRenamed({"n": "src", "colour": "c1"}), "src").join(c.withColumnsRenamed({"n": "dst", "colour": "c2"}), "dst").where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
