@@ -16,8 +16,9 @@ Documents are range-partitioned by id (null ids first), each task encodes its do
 files of about ``FILE_TOKENS`` tokens, and Spark writes them, so any file system it knows will do.
 A file in progress is the only thing a task holds.
 
-Encoding: a text is cut where the byte-level pattern always starts a new piece (see
-``Encoder.cuts``), and each distinct piece is encoded once.
+Encoding: as the tokenizers library does by default without adding special tokens.  Strings of the
+vocabulary's added tokens get their own ids; the text between them is cut where the byte-level
+pattern always starts a new piece (see ``Encoder.cuts``), and each distinct piece is encoded once.
 
 Defined results: a null text is empty and has only the end id; repeated ids are separate
 documents, in text order; an empty table gives no files and no rows.
@@ -26,6 +27,7 @@ documents, in text order; an empty table gives no files and no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -48,7 +50,8 @@ _MARK = np.array([0x20 < b < 0x7F and not chr(b).isalnum() for b in range(256)])
 class Encoder:
     """Encodes batches of texts.  A text is cut into pieces that encode alone as they do in place;
     each distinct piece of a batch is encoded once, and the first ``REMEMBER`` pieces a worker meets
-    (the frequent ones among them) are kept with their ids."""
+    (the frequent ones among them) are kept with their ids.  ``encode_whole`` takes any text;
+    ``encode`` reads the string of an added token as ordinary text."""
 
     REMEMBER = 200_000
     TOGETHER = 500
@@ -58,7 +61,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # pieces are cut inside added tokens; encode_whole knows those
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content.encode(): i for i, t in added.items() if t.content}
+        #: Whether a token takes in or looks at what is beside it: then the library reads the whole text.
+        self.bound = any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.library = Tokenizer.from_file(path) if self.bound else None
+        longest = sorted(self.added, key=len, reverse=True)  # the first match, and of those the longest
+        self.token = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         vocabulary = self.tokenizer.get_vocab()
         self.top = max(vocabulary.values())
         self.length = np.zeros(self.top + 1, np.int64)  # bytes: a byte-level token has a letter for each
@@ -130,6 +140,35 @@ class Encoder:
         source += np.arange(to[-1])
         return flat[source], np.diff(to[np.searchsorted(cuts, offsets)])
 
+    def encode_whole(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, but strings of added tokens get the ids of those."""
+        data, offsets = flat_bytes(column)
+        raw = data.tobytes()
+        if self.token is None or not self.token.search(raw):
+            return self.encode(column)
+        edges = [0]  # of the parts: of each text in turn one without a token, then a token, and so on
+        first, known = [0], []  # a text's first part; (part, ids) of those that are not to be cut
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            if self.bound and self.token.search(raw, a, b):
+                known.append((len(edges) - 1, self.library.encode(raw[a:b].decode("utf-8"), add_special_tokens=False).ids))
+            else:
+                for m in self.token.finditer(raw, a, b):
+                    known.append((len(edges), [self.added[m[0]]]))
+                    edges += m.span()
+            edges.append(b)
+            first.append(len(edges) - 1)
+        size = np.diff(edges)
+        which = np.array([i for i, _ in known], np.int64)
+        plain = np.ones(len(size), bool)
+        plain[which] = False
+        rest = np.concatenate([[0], np.cumsum(size * plain)])
+        flat, count = self.encode(as_binary(data[np.repeat(plain, size)], rest))
+        ids = np.array([x for _, more in known for x in more], np.uint32)
+        more = np.array([len(x) for _, x in known], np.int64)
+        flat = np.insert(flat, np.repeat((np.cumsum(count) - count)[which], more), ids)
+        count[which] = more
+        return flat, np.diff(np.concatenate([[0], np.cumsum(count)])[first])
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -178,7 +217,7 @@ def _write_partition(tokenizer_path: str, end_id: int, file_tokens: int):
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, "right")) - 1)
                 piece = batch.slice(at, to - at)
-                flat, count = encoder.encode(piece.column(1))
+                flat, count = encoder.encode_whole(piece.column(1))
                 ids.append(np.insert(flat.astype(kind), np.cumsum(count), end_id))
                 counts.append(count + 1)
                 nulls |= piece.column(0).null_count > 0

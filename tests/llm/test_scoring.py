@@ -199,3 +199,31 @@ def test_op9_query(spark, sf_dir):
     path, t = _tokenizer()
     rows = sorted(tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     assert sorted(map(tuple, op9_token_ids(spark, sf_dir).collect())) == _expected(t, rows)
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "end.<|endoftext|>", "", "a<|endoftext|", "|>", "<|endoftext|", "|> x's<|endoftext|>\n\n é<|endoftext|> ñ ", "plain text", "<|<|endoftext|>|>"]
+
+
+def test_op9_added_tokens_as_the_library_does_by_default(spark):
+    from tokenizers import Tokenizer
+
+    path, _ = _tokenizer()
+    t = Tokenizer.from_file(path)
+    assert t.encode(SPECIAL[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    folder = cluster.shared_dir(spark)
+    rows = [*enumerate(SPECIAL), (len(SPECIAL), None), (len(SPECIAL) + 1, "after all")]
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), folder, path, file_tokens=20)
+    assert sorted(map(tuple, tokens.read_tokens(spark, folder).collect())) == _expected(t, rows)
+
+
+def test_op9_added_tokens_that_look_beside_them(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_file(_tokenizer()[0])
+    t.add_special_tokens([AddedToken("<sep>", lstrip=True, rstrip=True), AddedToken("word", single_word=True)])
+    t.save(str(tmp_path / "t.json"))
+    t = Tokenizer.from_file(str(tmp_path / "t.json"))
+    texts = ["a <sep>  b", "words word", "swordfish", "plain", *SPECIAL]
+    flat, counts = tokens.Encoder(str(tmp_path / "t.json")).encode_whole(pa.array(texts))
+    expected = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert counts.tolist() == list(map(len, expected)) and flat.tolist() == sum(expected, [])
