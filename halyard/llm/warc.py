@@ -131,23 +131,26 @@ def _matches(spec: str, data: bytes) -> bool:
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """(fields, payload, end) of the record whose version line is at ``at``."""
-    if not _VERSION.match(data, at):
+    version = _VERSION.match(data, at)
+    if not version:
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if stop < 0:
-        raise Damaged("header without end")
     fields: dict[str, str] = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    line = version.end()
+    # Line by line, so a header may be as long as the data, and one without end is left at the next version line.
+    while (stop := data.find(b"\r\n", line)) != line:
+        if stop < 0:
+            raise Damaged("header without end")
+        name, colon, value = data[line:stop].partition(b":")
         if not colon:
             raise Damaged("header line without colon")
         fields[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        line = stop + 2
     if not MANDATORY <= fields.keys():
         raise Damaged("mandatory field missing")
     size = fields["content-length"]
     if not size.isdigit():
         raise Damaged("no content length")
-    begin, end = stop + 4, stop + 4 + int(size)
+    begin, end = stop + 2, stop + 2 + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("no end mark where the content length says")
     block = data[begin:end]

@@ -272,6 +272,21 @@ def test_op8_salvage_of_cut_and_joined_archives():
     assert warc.salvage(b"nothing here")[1] == [(0, 12, "no version line")]
 
 
+def test_op8_long_headers(spark):
+    """A header may be longer than 64 KB; none of its pages is missing from the result."""
+    urls = ["data:text/html," + "x" * 100_000, "http://a/" + "é /" * 60_000, "u"]
+    pages = spark.createDataFrame([(i, u, f"page {i % 2} " * 30) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    path = cluster.shared_dir(spark)
+    warc.write_warc(pages, path)
+    rows = {r.page_id: r for r in warc.read_warc(spark, path).collect()}
+    assert {r.kind for r in rows.values()} == {"record"} and sorted(rows) == [0, 1, 2]
+    assert [rows[i].uri for i in range(3)] == [u.replace(" ", "%20") for u in urls] and rows[2].refers_to == 0
+    plain = warc.record(7, urls[0], b"y", hashlib.sha256(b"y").hexdigest(), 1, None)
+    cut = plain.replace(b"\r\n\r\n", b"\r\n").rstrip(b"\r\n")
+    found, gaps = warc.salvage(cut + b"\r\n" + plain + cut)
+    assert _ids(found) == [7] and [(a, b) for a, b, _ in gaps] == [(0, len(cut) + 2), (len(cut) + 2 + len(plain), 2 * len(cut) + 2 + len(plain))]
+
+
 def test_op8_query(spark, sf_dir):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = queries.op8_warc(spark, sf_dir).collect()
