@@ -60,6 +60,18 @@ def test_op4_empty(spark, awkward, nothing):
     assert len(clean) == len(AWKWARD) and all(r.n_hit == 0 and not r["items"] for r in clean)
 
 
+GREEK = [(1, "Α.Σ. x"), (2, "ΟΔΟΣ.Α"), (3, "ΟΔΟΣ Β"), (4, "ο κ. Α.Σ. Παπάς, ΟΔΟΣ:Α' ΣΟΦΟΣ^Γ, δύο τρία τέσσερα"), (5, "ΟΔΟΣ' 5"), (6, "οδος α")]
+GREEK_DOCS = [(1, "see Α.Σ. x here"), (2, "Α Σ x"), (3, "στην ΟΔΟΣ.Α και ΟΔΟΣ.Β"), (4, "ΟΔΟΣ Α"), (5, "πριν ο κ. Α.Σ. Παπάς, ΟΔΟΣ:Α' ΣΟΦΟΣ^Γ, δύο τρία τέσσερα μετά"), (6, "οδοσ α οδος α"), (7, "ΟΔΟΣ' 5 Α`Σ`X")]
+
+
+def test_op4_capital_sigma_beside_separators(spark):
+    docs, items = spark.createDataFrame(GREEK_DOCS, "doc_id long, text string"), spark.createDataFrame(GREEK, "item_id long, text string")
+    got = decontaminate.contamination(docs, items).collect()
+    expected = contaminated(GREEK_DOCS, GREEK)
+    assert all(n for _, _, n, _ in expected)
+    assert table((r.id, r.n_words, r.n_hit, list(r["items"])) for r in got) == table(expected)
+
+
 def test_op4_runs_no_python_on_executors(spark, sf_dir):
     for q in (queries.op4_decontamination, queries.op5_pii_surrogates, queries.op6_exact_dedup):
         plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
