@@ -1,21 +1,21 @@
 """Language identification with language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter serves all languages: each slot holds a mask with a bit per language,
-and the AND over an n-gram's slots gives every language that contains the n-gram.  A text's
+One bit-sliced Bloom filter serves all languages: each slot holds a mask with a bit per language (as
+many 64-bit words as that takes), and the AND over an n-gram's slots gives every language that contains the n-gram.  A text's
 n-grams are counted per language bit; a count is corrected for the rate f at which the filter
 answers falsely for that language, (hits - n f) / (1 - f), and the largest corrected count decides.
 
 The filter is fitted on a bounded sample: about ``SAMPLE_DOCS`` documents of each language, chosen
 by a hash of the id and thinned to the rate bound / count.  It has a fixed number of slots, so its
-size does not grow with the data; prediction reads every byte of every text.
+size does not grow with the rows but with the languages; prediction reads every byte of every text.
 
 N-grams are runs of ``N`` bytes of the UTF-8 text after A-Z are lower-cased and each run of other
 ASCII than letters has become one space, so they see word starts and ends.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all if
 nothing could be learned; a text whose n-grams are all unknown gets the most frequent learned
-language, score 0; ties go to the alphabetically first language; up to 64 languages (the most
-frequent ones); all input columns are kept but those that have the name of an added one.
+language, score 0; ties go to the alphabetically first language; all languages that label a text are
+learned; all input columns are kept but those that have the name of an added one.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ N = 4
 SLOTS_LOG2 = 21
 HASHES = 2
 SAMPLE_DOCS = 1_000
-#: An n-gram belongs to a language if that many of its sampled documents hold it.
+#: An n-gram belongs to a language if that many of its sampled documents hold it; one does if the
+#: language has fewer than FEW_DOCS.
 MIN_DOCS = 3
+FEW_DOCS = 10
 #: Bytes of text worked on at a time.
 BATCH_BYTES = 1 << 19
 
@@ -80,25 +82,30 @@ class Filters:
     def __init__(self, languages: list[str], default: str):
         self.languages, self.default = languages, default
         self.kind = np.uint8 if len(languages) <= 8 else np.uint64
-        self.masks = np.zeros(1 << SLOTS_LOG2, self.kind)
+        self.masks = np.zeros((-(-len(languages) // 64), 1 << SLOTS_LOG2), self.kind)
 
     def add(self, h: np.ndarray, language: int) -> None:
+        word, bit = divmod(language, 64)
         for slot in _slots(h):
-            self.masks[slot] |= self.kind(1 << language)
+            self.masks[word][slot] |= self.kind(1 << bit)
+
+    def _bits(self, words: np.ndarray, language: int) -> np.ndarray:
+        return (words >> self.kind(language % 64)) & self.kind(1)
 
     def false_rates(self) -> np.ndarray:
-        return np.array([np.mean((self.masks >> self.kind(i)) & self.kind(1)) ** HASHES for i in range(len(self.languages))])
+        return np.array([np.mean(self._bits(self.masks[i // 64], i)) ** HASHES for i in range(len(self.languages))])
 
     def counts(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams per text, corrected hits per text and language)."""
         h, edges = ngrams(column)
-        hit = np.full(len(h), np.iinfo(self.kind).max, self.kind)
-        for slot in _slots(h):
-            hit &= self.masks[slot]
         n = np.diff(edges)
         out = np.zeros((len(n), len(self.languages)))
         for i, f in enumerate(self.false_rates()):
-            total = np.concatenate([[0], np.cumsum((hit >> self.kind(i)) & self.kind(1), dtype=np.int64)])
+            if i % 64 == 0:
+                hit = np.full(len(h), np.iinfo(self.kind).max, self.kind)
+                for slot in _slots(h):
+                    hit &= self.masks[i // 64][slot]
+            total = np.concatenate([[0], np.cumsum(self._bits(hit, i), dtype=np.int64)])
             out[:, i] = np.maximum(0.0, (total[edges[1:]] - total[edges[:-1]] - n * f) / (1 - f))
         return n, out
 
@@ -115,45 +122,48 @@ class Filters:
         return said, np.clip(score, 0.0, 1.0)
 
 
-def _gram_rows(n_languages: int):
-    def of_partition(batches):
-        for batch in batches:
-            h, edges = ngrams(batch.column(0))
-            language = batch.column(1).to_numpy()
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(edges))
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, language = h[new], language[doc[new]]
-            for i in range(n_languages):
-                gram, times = np.unique(h[language == i], return_counts=True)
-                if len(gram):
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), i, np.int32)), pa.array(times.astype(np.int64))], ["gram", "language", "n"])
-
-    return of_partition
+def _gram_rows(batches):
+    """Each batch's distinct (gram, language) and how many of its documents hold the gram."""
+    for batch in batches:
+        h, edges = ngrams(batch.column(0))
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, language = h[new], batch.column(1).to_numpy()[doc[new]]
+        order = np.lexsort((h, language))
+        h, language = h[order], language[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (language[1:] != language[:-1])
+        at = np.flatnonzero(new)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(language[at].astype(np.int32)), pa.array(np.diff(np.append(at, len(h))))], ["gram", "language", "n"])
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Filters:
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}  # one row per language
     languages = sorted(counts)
     filters = Filters(languages, max(languages, key=lambda x: (counts[x], x), default="und"))
     if not languages:
         return filters
-    number: Column = F.lit(None).cast("int")
-    rate: Column = F.lit(0.0)
-    for i, x in enumerate(languages):
-        number = F.when(F.col(lang_col) == x, i).otherwise(number)
-        rate = F.when(F.col(lang_col) == x, min(1.0, sample_docs / counts[x])).otherwise(rate)
+    known: Column = F.array_position(F.array(*map(F.lit, languages)), F.col(lang_col)).cast("int")
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), known)
+    rate = at([min(1.0, sample_docs / counts[x]) for x in languages])
     chosen = F.pmod(F.xxhash64(id_col, F.lit("language sample")), F.lit(1 << 30)) < rate * (1 << 30)
-    sample = usable.where(chosen).select(F.col(text_col), number.alias("language"))
-    grams = sample.mapInArrow(_gram_rows(len(languages)), "gram bigint, language int, n bigint")
-    held = grams.groupBy("gram", "language").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    sample = usable.where(chosen).select(F.col(text_col), (known - 1).alias("language"))
+    grams = sample.mapInArrow(_gram_rows, "gram bigint, language int, n bigint")
+    few = [i for i, x in enumerate(languages) if min(counts[x], sample_docs) < FEW_DOCS]
+    least = F.when(F.array_contains(F.array(*map(F.lit, few)).cast("array<int>"), F.col("language")), 1).otherwise(MIN_DOCS)
+    held = grams.groupBy("gram", "language").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     for batch in held.select("gram", "language").toArrow().to_batches():  # bounded by the sample
         gram, language = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        for i in range(len(languages)):
-            filters.add(gram[language == i], i)
+        order = np.argsort(language, kind="stable")
+        gram, language = gram[order], language[order]
+        own, first = np.unique(language, return_index=True)
+        for i, some in zip(own.tolist(), np.split(gram, first[1:])):
+            filters.add(some, i)
     return filters
 
 
@@ -170,7 +180,7 @@ def _slices(batch: pa.RecordBatch, column: int):
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The documents with two more columns."""
     docs = cluster.without(docs, lang, score)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2^SLOTS_LOG2 masks, fixed
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2^SLOTS_LOG2 masks of a bit per language
     at = docs.columns.index(text_col)
     names = [*docs.columns, lang, score]
 

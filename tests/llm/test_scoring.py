@@ -129,6 +129,18 @@ def test_op10_many_languages():
     assert said == ["l04", "l11"]
 
 
+def test_op10_more_than_64_and_rare_languages(spark):
+    """Each of 150 languages has an alphabet of its own; the rarest one document."""
+    letters = [[chr(0x4E00 + 40 * i + k) for k in range(40)] for i in range(150)]
+    text = lambda i, n: " ".join("".join(letters[i][(n + j + k) % 40] for k in range(4)) for j in range(30))
+    rows = [(1000 * i + n, text(i, n), f"l{i:03d}") for i in range(150) for n in range((1, 2, 12)[i % 3])]
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.languages == [f"l{i:03d}" for i in range(150)]
+    asked = spark.createDataFrame([(i, text(i, 5)) for i in range(150)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(asked, filters).collect()}
+    assert got == {i: f"l{i:03d}" for i in range(150)}
+
+
 def test_op10_query_on_held_out(spark, sf_dir):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
     rows = op10_language_id(spark, sf_dir).collect()
