@@ -17,8 +17,8 @@ from halyard.llm import cluster, decontaminate, jaccard_join, langid, mixing, to
 from halyard.llm.queries import fold
 from halyard.session import read_table, ship_package
 
-#: A text of at least this many characters whose score is below this is in no learned language.
-LONG_CHARS, LEAST_SCORE = 200, 0.2
+#: A text of at least this many characters whose coverage is below this is in no learned language.
+LONG_CHARS, LEAST_COVERAGE = 200, 0.3
 
 
 def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -27,13 +27,13 @@ def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: goes what has no letter, and long texts hardly any of whose
-    n-grams the filters know."""
+    """Documents in a learned language: goes what has no letter, and long texts few of whose n-grams
+    the filters know in any one language."""
     ship_package(spark)
     filters = langid.fit(docs.where(fold("doc_id", 4) != 2))
-    lang, score = cluster.unused(docs, "said_lang", "said_score")
-    said = langid.identify(docs, filters, lang=lang, score=score)
-    unclear = (F.length("text") >= LONG_CHARS) & (F.col(score) < LEAST_SCORE)
+    lang, score, coverage = cluster.unused(docs, "said_lang", "said_score", "said_coverage")
+    said = langid.identify(docs, filters, lang=lang, score=score, coverage=coverage)
+    unclear = (F.length("text") >= LONG_CHARS) & (F.col(coverage) < LEAST_COVERAGE)
     return _as(docs, said.where((F.col(lang) != "und") & ~unclear))
 
 

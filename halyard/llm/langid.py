@@ -4,6 +4,7 @@ One bit-sliced Bloom filter serves all languages: each slot holds a mask with a
 many 64-bit words as that takes), and the AND over an n-gram's slots gives every language that contains the n-gram.  A text's
 n-grams are counted per language bit; a count is corrected for the rate f at which the filter
 answers falsely for that language, (hits - n f) / (1 - f), and the largest corrected count decides.
+The score is its share among the counts of all languages, the coverage its share of the n-grams.
 
 The filter is fitted on a bounded sample: about ``SAMPLE_DOCS`` documents of each language, chosen
 by a hash of the id and thinned to the rate bound / count.  It has a fixed number of slots, so its
@@ -110,16 +111,21 @@ class Filters:
         return n, out
 
     def decide(self, column) -> tuple[list[str], np.ndarray]:
+        return self.judge(column)[:2]
+
+    def judge(self, column) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, coverage) per text."""
         n, hits = self.counts(column)
         total = hits.sum(axis=1)
         best = hits.argmax(axis=1) if self.languages else np.zeros(len(n), int)
         score = np.divide(hits.max(axis=1, initial=0.0), total, out=np.zeros(len(n)), where=total > 0)
         said = [self.languages[b] if t > 0 else self.default for b, t in zip(best, total)] if self.languages else ["und"] * len(n)
+        coverage = np.divide(hits.max(axis=1, initial=0.0), n, out=np.zeros(len(n)), where=n > 0)
         texts = column.to_pylist()
         for i, text in enumerate(texts):
             if text is None or not any(map(str.isalpha, text)):
-                said[i], score[i] = "und", 0.0
-        return said, np.clip(score, 0.0, 1.0)
+                said[i], score[i], coverage[i] = "und", 0.0, 0.0
+        return said, np.clip(score, 0.0, 1.0), np.clip(coverage, 0.0, 1.0)
 
 
 def _gram_rows(batches):
@@ -177,20 +183,21 @@ def _slices(batch: pa.RecordBatch, column: int):
         at = end
 
 
-def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The documents with two more columns."""
-    docs = cluster.without(docs, lang, score)
+def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang: str = "lang_pred", score: str = "score", coverage: str | None = None) -> DataFrame:
+    """The documents with two more columns, with a name for ``coverage`` three."""
+    more = [lang, score, *([coverage] if coverage else [])]
+    docs = cluster.without(docs, *more)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2^SLOTS_LOG2 masks of a bit per language
     at = docs.columns.index(text_col)
-    names = [*docs.columns, lang, score]
+    names = [*docs.columns, *more]
 
     def of_partition(batches):
         model = shared.value
         for batch in batches:
             for piece in _slices(batch, at):
-                said, sure = model.decide(piece.column(at))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(said, pa.string()), pa.array(sure, pa.float64())], names)
+                said, *shares = model.judge(piece.column(at))
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(said, pa.string()), *[pa.array(x, pa.float64()) for x in shares[: len(more) - 1]]], names)
         release()
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), *[T.StructField(x, T.DoubleType()) for x in more[1:]]])
     return docs.mapInArrow(of_partition, schema)

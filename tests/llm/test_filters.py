@@ -336,6 +336,24 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     assert len(corpus_pipeline.run(spark, sf_dir).collect()) == len(out)
 
 
+def test_language_stage_drops_unlearned_languages_and_random_letters(spark, sf_dir):
+    import corpus_pipeline
+
+    draw = random.Random(5)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin."
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej Deklaracji."
+    letters = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=600))
+    words = " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(150))
+    coded = "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=800))
+    english = "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. Everyone is entitled to all the rights and freedoms set forth in this Declaration, without distinction."
+    asked = [(-i, t) for i, t in enumerate([finnish, polish, letters, words, coded, english, letters[:150]], 1)]
+    # without a label, so nothing is learned from them
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame(asked, "doc_id long, text string"), allowMissingColumns=True)
+    kept = corpus_pipeline.language(spark, docs, sf_dir).where("doc_id < 0").collect()
+    assert sorted(r.doc_id for r in kept) == [-7, -6]
+
+
 def test_stages_awkward(spark, awkward, nothing, sf_dir):
     import corpus_pipeline
 
