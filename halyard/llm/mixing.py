@@ -2,12 +2,15 @@
 
 Every source gets a mean repetition rate (target share x wanted total / its size).  A document's
 uniform number comes from a hash of seed and id; inverting the Poisson distribution of its
-source's rate at that number gives its count of copies.  Copies are exploded and shuffled globally:
+source's rate at that number gives its count of copies.  A rate above ``PIECE`` is a sum of whole
+pieces and a rest: Poisson counts add up, so the rest and each piece are drawn on their own, with a
+hash of seed, id and the piece's number, and the distribution to invert never has more than a
+few hundred steps, whatever the rate.  Copies are exploded and shuffled globally:
 each has a sort key hashed from seed, id and copy number, partitions are slices of the key space
 and are sorted by the key.  Nothing is drawn at run time, so a lost executor's work repeats alike.
 
-The rates have one row per source; they are broadcast while below ``BROADCAST_SOURCES`` rows and
-joined by shuffle beyond.  The only shuffle of documents is the wanted one.
+The rates have one row per source, of bounded size; they are broadcast while below
+``BROADCAST_SOURCES`` rows and joined by shuffle beyond.  The only shuffle of documents is the wanted one.
 
 Defined results: a null source is a source of its own; rows with the same id (or a null id) draw
 the same count; a source without a given target gets none (rate 0); an empty table gives an empty
@@ -24,6 +27,8 @@ from halyard.llm import cluster
 BROADCAST_SOURCES = 10_000
 #: Bits of a hash that make the uniform number (exact in a double).
 BITS = 52
+#: The largest rate that is drawn in one piece.
+PIECE = 64.0
 
 
 def _hash_bits(*parts: Column) -> Column:
@@ -65,14 +70,18 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """The documents' columns, one row per copy, and copy (from 1), copies, key; in global random order."""
     spark = docs.sparkSession
     docs = cluster.without(docs, copy, copies, key)
-    of, cdf, u = cluster.unused(docs, "mix_source", "mix_cdf", "mix_u")
-    rates = cluster.saved(repetition_rates(docs, source_col, F.lit(1) if size is None else size, targets, temperature, total).withColumn("cdf", poisson_cdf(F.col("mix_rate"))))
-    known = rates.select(F.col("mix_source").alias(of), F.col("cdf").alias(cdf))
+    of, pieces, cdf, full, u = cluster.unused(docs, "mix_source", "mix_pieces", "mix_cdf", "mix_full", "mix_u")
+    rates = repetition_rates(docs, source_col, F.lit(1) if size is None else size, targets, temperature, total)
+    whole = F.when(F.col("mix_rate") > PIECE, F.floor(F.col("mix_rate") / PIECE)).otherwise(0).cast("int")
+    rates = cluster.saved(rates.withColumn("whole", whole).withColumn("cdf", poisson_cdf(F.col("mix_rate") - F.col("whole") * PIECE)))
+    known = rates.select(F.col("mix_source").alias(of), F.col("whole").alias(pieces), F.col("cdf").alias(cdf), poisson_cdf(F.lit(PIECE)).alias(full))
     if rates.count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
     drawn = docs.join(known, F.col(source_col).eqNullSafe(F.col(of))).withColumn(u, uniform(seed, F.col(id_col)))
-    drawn = drawn.withColumn(copies, F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(copies) > 0)
-    out = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(of, cdf, u)
+    inverted = lambda steps, at: F.size(F.filter(steps, lambda c: c <= at))
+    more = F.aggregate(F.sequence(F.lit(1), F.col(pieces)), F.lit(0), lambda n, i: n + inverted(full, uniform(seed, F.col(id_col), F.concat(F.lit("piece "), i))))
+    drawn = drawn.withColumn(copies, inverted(cdf, F.col(u)) + F.when(F.col(pieces) > 0, more).otherwise(0)).where(F.col(copies) > 0)
+    out = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(of, pieces, cdf, full, u)
     out = out.withColumn(key, F.md5(F.concat_ws(":", F.lit(f"{seed} order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy))))
     n = cluster.partitions(spark)
     slot = (F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * n / F.lit(float(1 << 32))).cast("int")
