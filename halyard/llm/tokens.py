@@ -8,13 +8,15 @@ A part file is a run of documents in ascending id order::
     footer    magic, item size, n_docs, n_tokens, null flag (five 64-bit integers)
     guard     GUARD zero bytes
 
-so ``numpy.memmap(path, dtype, "r", shape=n_tokens)`` maps the ids without a header to skip.  A
-part's place in the whole is the prefix sum of the parts before it: the totals of the parts, one
-row each, are summed on the driver and kept as ``bases.json``'s content in the table ``bases``.
+so ``numpy.memmap(path, dtype, "r", shape=n_tokens)`` maps the ids without a header to skip, and
+``map_part`` maps a whole file.  Readers map files of a mounted file system (``file:``); from any
+other store Spark hands over the bytes.  A part's place in the whole is the prefix sum of the
+parts before it (``bases``): a table of one row per part, summed over the cluster and joined.
 
-Documents are range-partitioned by id (null ids first), each task encodes its documents and emits
-files of about ``FILE_TOKENS`` tokens, and Spark writes them, so any file system it knows will do.
-A file in progress is the only thing a task holds.
+Documents are range-partitioned by id (null ids first) and the beginning of the text, so rows that
+share an id, or have none, are spread too; each task encodes its documents and emits files of
+about ``FILE_TOKENS`` tokens, and Spark writes them, so any file system it knows will do.  A file
+in progress is the only thing a task holds.
 
 Encoding: as the tokenizers library does by default without adding special tokens.  Strings of the
 vocabulary's added tokens get their own ids; the text between them is cut where the byte-level
@@ -29,6 +31,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,14 @@ from pyspark.sql import functions as F
 
 from halyard.llm import cluster
 from halyard.llm.text import as_binary, flat_bytes, release
+from halyard.operators.ranks import running_total
 
 MAGIC = int.from_bytes(b"tokparts", "little")
 FILE_TOKENS = 4 << 20
 BATCH_BYTES = 1 << 20
 GUARD = 4
+#: Beginning of a text that range-partitions rows of one id.
+HEAD_CHARS = 16
 NO_ID = np.iinfo(np.int64).min
 _LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
 _MARK = np.array([0x20 < b < 0x7F and not chr(b).isalnum() for b in range(256)])
@@ -188,7 +194,12 @@ def _part(ids: list[np.ndarray], counts: list[np.ndarray], doc_ids: list[np.ndar
     return b"".join([flat.data, offsets.data, doc.astype(np.int64).data, footer.data])
 
 
-def parse_part(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+def map_part(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """``parse_part`` of a file that is mapped into memory: only the pages that are used are read."""
+    return parse_part(np.memmap(path, np.uint8, "r"))
+
+
+def parse_part(content: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """(ids, offsets, doc_ids, whether NO_ID stands for null) of a part file's bytes."""
     end = len(content) - GUARD
     magic, item, docs, tokens, nulls = np.frombuffer(content, np.int64, 5, end - 40).tolist()
@@ -237,47 +248,48 @@ def _write_partition(tokenizer_path: str, end_id: int, file_tokens: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_tokens: int = FILE_TOKENS) -> None:
     """Write part files below ``path``: partition order is id order, and so is file name order."""
     n = cluster.partitions(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    ordered = own.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.substring(text_col, 1, HEAD_CHARS).alias("head"))
+    ordered = own.repartitionByRange(n, "id", "head").sortWithinPartitions("id", "text").select("id", "text")
     parts = ordered.mapInArrow(_write_partition(tokenizer_path, end_id, file_tokens), "value binary")
     # a string column may hold any bytes, and the text writer writes them as they are
     parts.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0" * GUARD).text(path)
 
 
-def part_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+def _documents(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
+    """(task, file, doc_id, at, n_tokens, ids_crc32): the documents of each part file, which Spark names
+    by task and by number within the task; ``at`` counts from the start of the file."""
+    mounted = path.startswith("file:") or "://" not in path and spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:").startswith("file:")
+
+    def rows(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), [None] * batch.num_rows if mounted else batch.column(1).to_pylist()):
+                ids, offsets, docs, nulls = map_part(unquote(urlparse(name).path)) if mounted else parse_part(content)
+                task, file = (int(x) for x in re.search(r"part-(\d+)-.*-c(\d+)", name).groups())
+                n = len(docs)
+                edges = offsets.astype(np.int64)
+                cut = edges.tolist()
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(cut[:-1], cut[1:])]
+                doc = pa.array(docs, pa.int64(), mask=(docs == NO_ID) if nulls else None)
+                columns = [pa.array([task] * n, pa.int64()), pa.array([file] * n, pa.int64()), doc, pa.array(edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, ["task", "file", "doc_id", "at", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
+    schema = "task bigint, file bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    return files.select("path", *([] if mounted else ["content"])).mapInArrow(rows, schema)
 
-def bases(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
-    """By part file name: documents and tokens in all parts before it (one row per file here)."""
 
-    footers = part_files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.expr(f"substring(content, length - {39 + GUARD}, 40)").alias("footer"))
-    out, docs, tokens = {}, 0, 0
-    for name, footer in sorted((r.name, bytes(r.footer)) for r in footers.collect()):
-        out[name] = (docs, tokens)
-        _, _, d, t, _ = np.frombuffer(footer, np.int64).tolist()
-        docs, tokens = docs + d, tokens + t
-    return out
+def bases(documents: DataFrame) -> DataFrame:
+    """(task, file, tokens, base): of each part file its tokens and those of all parts before it."""
+    totals = documents.groupBy("task", "file").agg(F.sum("n_tokens").alias("tokens"))
+    return running_total(totals, ["task", "file"], "tokens", "base")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32 (over the ids as
     little-endian unsigned 32-bit integers), with ``with_ids`` also the ids."""
-    base = spark.sparkContext.broadcast(bases(spark, path))  # two integers per part file
-
-    def rows(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, offsets, docs, nulls = parse_part(content)
-                first = base.value[name.rsplit("/", 1)[-1]][1]
-                wide = ids.astype("<u4").tobytes()
-                edges = offsets.astype(np.int64).tolist()
-                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(edges[:-1], edges[1:])]
-                doc = pa.array(docs, pa.int64(), mask=(docs == NO_ID) if nulls else None)
-                columns = [doc, pa.array(offsets[:-1].astype(np.int64) + first), pa.array(np.diff(offsets.astype(np.int64))), pa.array(crc, pa.int64())]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
-
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
-    return part_files(spark, path).select("path", "content").mapInArrow(rows, schema)
+    narrow = cluster.saved(_documents(spark, path, False))
+    rows = _documents(spark, path, True) if with_ids else narrow
+    placed = rows.join(bases(narrow).select("task", "file", "base"), ["task", "file"])
+    return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
