@@ -31,14 +31,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written below spark.checkpoint.dir and read back: cuts lineage in loops and survives
-    lost executors.  Only where the setting is absent (one machine) a temporary folder is used."""
-    spark = df.sparkSession
+_made: dict[str, list[str]] = {}
+
+
+def shared_dir(spark: SparkSession, name: str = "halyard") -> str:
+    """A new folder name below spark.checkpoint.dir, which all executors share.  Where that setting is
+    absent a temporary folder serves a local master; a cluster needs the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="halyard-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/halyard-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if name == "halyard":
+        _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate folders that this application made, from number ``since`` on, but those
+    in ``keep``.  Tables that still read them must have been written elsewhere."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for path in made[since:]:
+        if path not in keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    made[since:] = [path for path in made[since:] if path in keep]
+
+
+def made_so_far(spark: SparkSession) -> int:
+    """The number of intermediate folders, for ``sweep``."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: cuts lineage in loops and survives lost
+    executors."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
