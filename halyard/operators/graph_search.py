@@ -152,34 +152,46 @@ class Acorn:
             out[i] = kept
         return out
 
-    def _neighbours(self, level: int, u: int, passes: np.ndarray, visited: set[int]) -> tuple[list[int], int]:
-        """Passing unvisited rows around u in scan order, and the list entries read.  The scan stops once
-        2m passing entries are counted."""
-        links, scanned, count, out = self.layers[level].get(u, []), 0, 0, []
-        expanding = True
-        for pos, v in enumerate(links):
-            scanned += 1
-            count += bool(passes[v])
-            if v in visited:
+    def _marked(self, row: int) -> np.ndarray:
+        marks = np.zeros(len(self.levels), bool)
+        marks[row] = True
+        return marks
+
+    def _list(self, level: int, u: int) -> np.ndarray:
+        links = self.layers[level].get(u)
+        return np.zeros(0, np.int64) if links is None else np.asarray(links, np.int64)
+
+    def _neighbours(self, level: int, u: int, passes: np.ndarray, seen: np.ndarray) -> tuple[list[int], int]:
+        """Passing unseen rows around u in scan order, which become seen, and the list entries read.
+
+        The list of u falls into blocks: an entry and, if it was unseen and its place is an open one,
+        its own list.  ``left`` passing entries may still be counted; the one that uses them up ends
+        the scan if it is a new entry of u's list, and closes all further lists (unless all are to be
+        opened) if it is inside another's."""
+        direct = self._list(level, u)
+        left, closed, read, out = 2 * self.m, False, len(direct), []
+        for pos, v in enumerate(direct.tolist()):
+            left -= int(passes[v])
+            if seen[v]:
                 continue
             if passes[v]:
-                visited.add(v)
+                seen[v] = True
                 out.append(v)
-                if count >= 2 * self.m:
-                    break
-            if self.gamma == 1 or (pos >= self.m_beta and expanding):
-                for w in self.layers[level].get(v, []):
-                    scanned += 1
-                    if not passes[w]:
-                        continue
-                    count += 1
-                    if w not in visited:
-                        visited.add(w)
-                        out.append(w)
-                    if count >= 2 * self.m:
-                        expanding = False
-                        break
-        return out, scanned
+                if left <= 0:
+                    return out, read - (len(direct) - pos - 1)
+            if closed or self.gamma != 1 and pos < self.m_beta:
+                continue
+            block = self._list(level, v)
+            counted = np.cumsum(passes[block])
+            stop = int(np.searchsorted(counted, max(left, 1)))
+            if stop < len(block):
+                block, closed = block[: stop + 1], self.gamma != 1
+            read, left = read + len(block), left - int(passes[block].sum())
+            fresh = block[passes[block] & ~seen[block]]
+            fresh = fresh[np.sort(np.unique(fresh, return_index=True)[1])]
+            seen[fresh] = True
+            out += fresh.tolist()
+        return out, read
 
     def search(self, q: np.ndarray, k: int, ef: int, passes: np.ndarray) -> tuple[list[tuple[float, int]], dict]:
         """Greedy descent to the level-0 seed (which may fail the filter), then best-first among passing
@@ -188,14 +200,14 @@ class Acorn:
         at, d = self.entry, self.space.to(q, [self.entry])[0]
         for level in range(len(self.layers) - 1, 0, -1):
             while True:
-                near, read = self._neighbours(level, at, passes, {at})
+                near, read = self._neighbours(level, at, passes, self._marked(at))
                 scanned += read
                 best = min(zip(self.space.to(q, near), near), default=(math.inf, -1)) if near else (math.inf, -1)
                 if best[0] >= d:
                     break
                 d, at = best
         seed, size = at, max(ef, k)
-        visited, todo = {seed}, [(d, seed)]
+        visited, todo = self._marked(seed), [(d, seed)]
         found = [(-d, -seed)] if passes[seed] else []
         while todo:
             e, u = heapq.heappop(todo)

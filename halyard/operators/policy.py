@@ -92,16 +92,13 @@ def tau_curve(pairs: DataFrame, step: float = 0.01, probe_cost: float = 0.0) ->
 
 
 def calibrate_tau(pairs: DataFrame, target: float, step: float = 0.01, probe_cost: float = 0.0) -> tuple[float, float]:
-    """(tau, mean cost): the cheapest feasible tau, the first of ties up to 1e-9; (infinite, cost of the
-    largest budget) if none is feasible."""
-    best: tuple[float, float] | None = None
-    for row in tau_curve(pairs, step, probe_cost).where(F.col("mean_success") >= target - 1e-12).orderBy("tau").collect():  # one row per grid point
-        if best is None or row.mean_cost < best[1] - 1e-9:
-            best = (row.tau, row.mean_cost)
-    if best is None:
-        cost = pairs.agg(F.avg(F.element_at("cost", -1) + probe_cost)).first()[0]
-        return float("inf"), cost
-    return best
+    """(tau, mean cost): the cheapest feasible tau, the first of those that cost the same to nine
+    decimals; (infinite, cost of the largest budget) if none is feasible."""
+    feasible = tau_curve(pairs, step, probe_cost).where(F.col("mean_success") >= target - 1e-12)
+    row = feasible.agg(F.min_by(F.struct("tau", "mean_cost"), F.struct(F.round("mean_cost", 9), "tau")).alias("best")).first()
+    if row.best is not None:
+        return row.best.tau, row.best.mean_cost
+    return float("inf"), pairs.agg(F.avg(F.element_at("cost", -1) + probe_cost)).first()[0]
 
 
 def calibrate_mixture(rows: DataFrame, target: float, unit: str = "u") -> tuple[int, int, float]:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,50 +46,85 @@ def successors(edges: DataFrame, passing: DataFrame, rule: str, gamma: int = 1,
     return found.select("src", "dst").where("src <> dst").distinct()
 
 
+def capped_scans(source: np.ndarray, first: np.ndarray, node: np.ndarray, ok: np.ndarray, inner_first: np.ndarray, inner: np.ndarray, gamma: int, m_beta: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Many capped scans side by side: (which source, node found), each source's in order.
+
+    Source i has the entries ``first[i]:first[i + 1]`` of node and ok, in list order; entry e leads to
+    the passing nodes ``inner[inner_first[e]:inner_first[e + 1]]``.  All sources take their next entry
+    at once.  Passing entries count, repeated ones too; a scan is over when a new direct entry is the
+    2m-th or later, and opens no further lists once a new entry inside one is.  Within a list the
+    running count is the count so far and the place in the list, so where it ends is a search."""
+    size, inner_size = np.diff(first), np.diff(inner_first)
+    of_entry = np.repeat(np.arange(len(source)), size)
+    of_inner = np.repeat(of_entry, inner_size)
+    # what was seen is a flag per distinct (source, node)
+    codes = np.unique(np.concatenate([source, node, inner]), return_inverse=True)[1]
+    who = np.concatenate([np.arange(len(source)), of_entry, of_inner])
+    flags = np.unique(who * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+    own, direct, within = np.split(flags, [len(source), len(source) + len(node)])
+    seen = np.zeros(int(flags.max(initial=-1)) + 1, bool)
+    seen[own] = True
+    count, scanning, opening = np.zeros(len(source), np.int64), np.ones(len(source), bool), np.ones(len(source), bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for pos in range(int(size.max(initial=0))):
+        s = np.flatnonzero(scanning & (size > pos))
+        e = first[s] + pos
+        count[s] += ok[e]
+        fresh = ~seen[direct[e]]
+        new = fresh & ok[e]
+        seen[direct[e[new]]] = True
+        found.append((s[new], node[e[new]]))
+        scanning[s[new]] = count[s[new]] < 2 * m
+        wide = fresh & scanning[s] & (np.full(len(s), gamma == 1) | (opening[s] & (pos >= m_beta)))
+        s, e = s[wide], e[wide]
+        length = inner_size[e]
+        row = np.repeat(np.arange(len(e)), length)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        at = inner_first[e][row] + place
+        new = np.zeros(len(at), bool)
+        new[np.unique(within[at], return_index=True)[1]] = True
+        new &= ~seen[within[at]]
+        full = new & (count[s][row] + place + 1 >= 2 * m)
+        read = length.copy()
+        np.minimum.at(read, row[full], place[full] + 1)
+        new &= place < read[row]
+        seen[within[at[new]]] = True
+        found.append((s[row[new]], inner[at[new]]))
+        count[s] += read
+        opening[s[np.unique(row[full])]] = False
+    which, nodes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(which, kind="stable")
+    return which[order], nodes[order]
+
+
 def capped_scan(u: int, entries: list[tuple[int, bool]], lists: dict[int, list[int]], gamma: int, m_beta: int, m: int) -> list[int]:
-    """One scan of u's list in stored order.  ``entries``: (neighbour, passes); ``lists``: passing
-    members of a neighbour's own list, in its order.  Every passing entry counts, also a repeated one;
-    the scan ends when 2m have been counted at a new direct one, and expansion pauses once 2m have
-    been counted inside one."""
-    limit, count, expanding = 2 * m, 0, True
-    visited, out = {u}, []
-    for pos, (v, passes) in enumerate(entries):
-        count += passes
-        if v in visited:
-            continue
-        if passes:
-            visited.add(v)
-            out.append(v)
-            if count >= limit:
-                return out
-        if gamma == 1 or (pos >= m_beta and expanding):
-            for w in lists.get(v, ()):
-                count += 1
-                if w not in visited:
-                    visited.add(w)
-                    out.append(w)
-                    if count >= limit:
-                        expanding = False
-                        break
-    return out
+    """``capped_scans`` of one source.  ``entries``: (neighbour, passes); ``lists``: passing members of a
+    neighbour's own list, in its order."""
+    inner = [lists.get(v, ()) for v, _ in entries]
+    numbers = lambda x, kind=np.int64: np.array(list(x), kind)
+    return capped_scans(numbers([u]), numbers([0, len(entries)]), numbers(v for v, _ in entries), numbers((p for _, p in entries), bool), np.cumsum([0, *map(len, inner)]), numbers(w for x in inner for w in x), gamma, m_beta, m)[1].tolist()
 
 
 def capped_successors(edges: DataFrame, passing: DataFrame, gamma: int, m_beta: int, m: int) -> DataFrame:
     marked = edges.join(passing.select(F.col("vec_id").alias("dst"), F.lit(True).alias("ok")), "dst", "left").select("src", "pos", "dst", F.coalesce("ok", F.lit(False)).alias("ok"))
-    own = marked.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pos", "dst", "ok"))).alias("entries"))
-    lists = own.select(F.col("src").alias("dst"), F.transform(F.filter("entries", lambda e: e.ok), lambda e: e.dst).alias("list"))
-    with_lists = marked.join(lists, "dst", "left").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pos", "dst", "ok", "list"))).alias("entries"))
+    own = marked.where("ok").groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "dst"))), lambda e: e.dst).alias("list"))
+    lists = own.select(F.col("src").alias("dst"), "list")
+    entries = marked.join(lists, "dst", "left").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pos", "dst", "ok", F.coalesce("list", F.array().cast("array<bigint>")).alias("list")))).alias("e"))
+    columns = entries.select(F.col("src").cast("bigint"), F.col("e.dst").cast("array<bigint>").alias("node"), F.col("e.ok").alias("ok"), F.col("e.list").cast("array<array<bigint>>").alias("inner"))
 
     def scan(batches):
         for batch in batches:
-            src, dst = [], []
-            for u, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = capped_scan(u, [(e["dst"], e["ok"]) for e in entries], {e["dst"]: e["list"] or [] for e in entries}, gamma, m_beta, m)
-                src += [u] * len(found)
-                dst += found
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            source, node, ok, inner = batch.columns
+            lists = inner.flatten()
+            which, found = capped_scans(source.to_numpy(), _offsets(node), node.flatten().to_numpy(), ok.flatten().to_numpy(zero_copy_only=False), _offsets(lists), lists.flatten().to_numpy(), gamma, m_beta, m)
+            yield pa.RecordBatch.from_arrays([pa.array(source.to_numpy()[which]), pa.array(found, pa.int64())], ["src", "dst"])
+
+    return columns.mapInArrow(scan, "src bigint, dst bigint")
+
 
-    return with_lists.mapInArrow(scan, "src bigint, dst bigint")
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins in the flattened array, and the end."""
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
 def induced(steps: DataFrame, passing: DataFrame) -> DataFrame:
@@ -121,7 +158,7 @@ def reach_targets(steps: DataFrame, passing: DataFrame, targets: DataFrame) -> D
 
 def target_bits(reached: DataFrame) -> DataFrame:
     """One bit per target, the nearest lowest."""
-    bit = F.when(F.col("reachable"), F.pow(F.lit(2.0), F.col("rank") - 1).cast("long")).otherwise(F.lit(0).cast("long"))
+    bit = F.when(F.col("reachable"), F.expr("shiftleft(1L, CAST(rank AS INT) - 1)")).otherwise(F.lit(0).cast("long"))
     return reached.groupBy("query_id").agg(F.sum(bit).alias("bits"), F.count(F.lit(1)).alias("n_targets"))
 
 
