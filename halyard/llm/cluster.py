@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.session import shared_dir
+
 #: Text bytes that one chunk of documents or one bucket should hold; bounds a Python group's memory.
 CHUNK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share.  Only where that
-    setting is absent (tests, one machine) is a temporary folder used."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="halyard-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/halyard-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, codec: str = "zstd", **options) -> DataFrame:
     """The rows written to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
