@@ -11,13 +11,16 @@ Steps, each a Spark job on tables in the shared folder:
 
 1. Counts.  Documents are dealt into chunks; a chunk sends each of its distinct words once, with its
    training count, to the word's bucket.  Buckets sum and answer, so no vocabulary is ever gathered
-   in one place: only the sums, and the head's words, reach the driver.
+   in one place: each bucket names its ``HEAD`` most frequent words, and of those only the head's, and
+   the sums, reach the driver.
 2. Codes.  Each chunk turns its documents into 16-bit codes (head word or tail class) and adds up
    what does not depend on the state: the base score and the tail words' part.
 3. Training.  Every training document is used.  Each of ``ROUNDS`` rounds takes a share of the chunks;
    tasks train on theirs from the same weights by truncated backpropagation (windows of ``WINDOW``
    tokens, many documents side by side) and their weights are averaged by tokens seen, in a tree.
-4. Scoring of every document.
+   Which chunks train together follows from how the rows are dealt into files, so scores vary a
+   little with the number of partitions; on the same partitions they repeat.
+4. Scoring of every document.  Training and scoring hold a bounded group of documents at a time.
 
 Output weights start from the class and word frequencies, so training starts from a unigram model.
 
@@ -33,12 +36,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import cluster
 from halyard.llm.substring_dedup import _pack, _unpack
-from halyard.llm.text import Words, as_binary, flat_bytes, in_order, range_hash, release, words_of
+from halyard.llm.text import Runs, Words, as_binary, by_chunk, flat_bytes, in_order, range_hash, release, words_of
 
 HEAD = 1024
 HEAD_CLASSES = 32
@@ -53,6 +57,8 @@ SMOOTHING = 0.1
 CHUNK_BYTES = 8 << 20
 #: Models averaged by one task; the driver gets no more than that many.
 FAN_IN = 64
+#: Bytes of codes that a task holds at a time when it trains or scores (two a token).
+GROUP_BYTES = 4 << 20
 END = b""
 LN10 = np.log(10.0)
 
@@ -77,14 +83,14 @@ class _Vocabulary:
         self.times = np.bincount(self.of[training_word], minlength=n).astype(np.int64)
         self.bucket = (range_hash(data, self.begin, self.end) % np.uint64(buckets)).astype(np.int64) if n else np.zeros(0, np.int64)
         self.order = np.argsort(self.bucket, kind="stable")
-        self.edges = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
+        self.runs = Runs(self.bucket[self.order])
 
     def blobs(self):
         raw = self.data.tobytes()
-        for b in np.flatnonzero(np.diff(self.edges)):
-            mine = self.order[self.edges[b] : self.edges[b + 1]]
+        for b, run in self.runs:
+            mine = self.order[run]
             text = b"".join([raw[x : y + 1] for x, y in zip(self.begin[mine].tolist(), self.end[mine].tolist())])
-            yield int(b), _pack(times=self.times[mine].astype(np.uint32), text=np.frombuffer(text, np.uint8))
+            yield b, _pack(times=self.times[mine].astype(np.uint32), text=np.frombuffer(text, np.uint8))
 
     def tail_class(self) -> np.ndarray:
         return tail_class(self.data, self.begin, self.end)
@@ -96,18 +102,9 @@ def tail_class(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return (range_hash(data, np.maximum(end - 2, begin), end) % np.uint64(TAIL_CLASSES)).astype(np.int64)
 
 
-def _tables(batches):
-    rows = [pa.Table.from_batches([b]) for b in batches]
-    if rows:
-        table = pa.concat_tables(rows)
-        chunk = table["chunk"].to_numpy()
-        for c in np.unique(chunk):
-            yield int(c), table.take(pa.array(np.flatnonzero(chunk == c)))
-
-
 def _send(buckets: int):
     def of_partition(batches):
-        for c, docs in _tables(batches):
+        for c, docs in by_chunk(batches):
             out = list(_Vocabulary(docs, buckets).blobs())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([c] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "chunk", "blob"])
@@ -193,7 +190,7 @@ def _code(vocabulary, buckets: int):
         docs = own.docs
         count = np.zeros(len(own.begin), np.float64)
         for b, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist()):
-            count[own.order[own.edges[b] : own.edges[b + 1]]] = _unpack(blob, np.uint64)[0]
+            count[own.order[own.runs[b]]] = _unpack(blob, np.uint64)[0]
         raw = own.data.tobytes()
         head = len(v.words)
         in_class = own.tail_class()
@@ -368,8 +365,10 @@ class Model:
 
 
 class _Lanes:
-    """Documents side by side: each lane is a run of documents, lanes are about equally long and
-    the longest come first, so the lanes still busy at a step are the first ones."""
+    """Documents side by side: each lane is a run of documents, lanes are about equally long and the
+    longest come first, so the lanes still busy at a step are the first ones.  The codes stay one flat
+    array; a window's matrix is cut from it when its turn comes, so one very long document costs
+    its own length and not that of all lanes."""
 
     def __init__(self, docs: list[np.ndarray], lanes: int, end: int):
         lanes = max(1, min(lanes, len(docs)))
@@ -381,87 +380,107 @@ class _Lanes:
             heapq.heappush(heap, (size + len(docs[d]), i))
         length = {i: s for s, i in heap}
         rows = sorted(range(lanes), key=lambda i: -length[i])
-        self.length = np.array([length[i] for i in rows])
-        self.place = [(0, 0)] * len(docs)
-        steps = int(self.length[0]) if len(docs) else 0
-        self.target = np.full((steps, lanes), end, np.uint16)
-        self.keep = np.ones((steps, lanes), np.float32)
-        for j, i in enumerate(rows):
-            at = 0
-            for d in held[i]:
-                self.place[d] = (at, j)
-                self.target[at : at + len(docs[d]), j] = docs[d]
-                self.keep[at, j] = 0.0
-                at += len(docs[d])
-        self.input = np.full((steps, lanes), end, np.uint16)  # a document's first input is an end
-        if steps:
-            self.input[1:] = np.where(self.keep[1:] == 0, end, self.target[:-1])
+        self.end = end
+        self.length = np.array([length[i] for i in rows], np.int64)
+        self.lane = np.cumsum(self.length) - self.length  # where each lane begins in the flat array
+        self.order = np.array([d for i in rows for d in held[i]], np.int64)
+        self.flat = np.concatenate([docs[d] for d in self.order.tolist()]) if docs else np.zeros(0, np.uint16)
+        size = np.array([len(docs[d]) for d in self.order.tolist()], np.int64)
+        self.first = np.cumsum(size) - size  # where each document begins there
+        self.begins = np.zeros(len(self.flat), bool)
+        self.begins[self.first] = True
 
     def windows(self, size: int):
-        for t in range(0, len(self.target), size):
+        """(busy lanes, input codes, target codes, keep, real, place) of the windows in turn; keep is 0
+        where a document begins, place is where a token stands in the flat array."""
+        for t in range(0, int(self.length.max(initial=0)), size):
             busy = int(np.searchsorted(-self.length, -t, "left"))
-            steps = slice(t, t + size)
-            real = np.arange(t, min(t + size, len(self.target)))[:, None] < self.length[None, :busy]
-            yield t, busy, self.input[steps, :busy], self.target[steps, :busy], self.keep[steps, :busy], real
+            step = np.arange(t, min(t + size, int(self.length[0])))[:, None]
+            real = step < self.length[None, :busy]
+            place = np.where(real, self.lane[None, :busy] + step, self.lane[None, :busy])
+            new = self.begins[place]
+            code = np.where(new, self.end, self.flat[place - ~new])  # a document's first input is an end
+            yield busy, code, self.flat[place], (~new).astype(np.float32), real, place
 
+    def documents(self, place: np.ndarray) -> np.ndarray:
+        """The documents of places in the flat array."""
+        return self.order[np.searchsorted(self.first, place, "right") - 1]
 
-def train(model: Model, docs: list[np.ndarray], end: int, lanes: int = LANES, rate: float = RATE) -> int:
-    """One pass of truncated backpropagation with Adam steps; returns the tokens seen."""
+
+def train(model: Model, groups, end: int, lanes: int = LANES, rate: float = RATE) -> int:
+    """One pass of truncated backpropagation with Adam steps over groups of documents, one group held
+    at a time; returns the tokens seen."""
     seen, step = 0, 0
     first = {k: np.zeros_like(x) for k, x in model.w.items()}
     second = {k: np.zeros_like(x) for k, x in model.w.items()}
-    packed = _Lanes(docs, lanes, end)
-    h = np.zeros((packed.target.shape[1], UNITS), np.float32)
-    for _, busy, code, target, keep, real in packed.windows(WINDOW):
-        hs, start, zr, n = model.states(code, keep, h[:busy])
-        h[:busy] = hs[-1]
-        flat = hs[1:][real]
-        _, grad, dh = model.output(flat, target[real].astype(np.int64), True)
-        dout = np.zeros((*code.shape, UNITS), np.float32)
-        dout[real] = dh
-        grad |= model.backward(code, keep, hs, start, zr, n, dout)
-        seen, step = seen + len(flat), step + 1
-        scale = 1.0 / max(len(flat), 64)
-        pace = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * min(1.0, len(flat) / 512)
-        for k, g in grad.items():
-            g *= np.float32(scale)
-            first[k] += np.float32(0.1) * (g - first[k])
-            second[k] += np.float32(0.01) * (g * g - second[k])
-            model.w[k] -= np.float32(pace) * first[k] / (np.sqrt(second[k]) + np.float32(1e-6))
+    for docs in groups:
+        packed = _Lanes(docs, lanes, end)
+        h = np.zeros((len(packed.length), UNITS), np.float32)
+        for busy, code, target, keep, real, _ in packed.windows(WINDOW):
+            hs, start, zr, n = model.states(code, keep, h[:busy])
+            h[:busy] = hs[-1]
+            flat = hs[1:][real]
+            _, grad, dh = model.output(flat, target[real].astype(np.int64), True)
+            dout = np.zeros((*code.shape, UNITS), np.float32)
+            dout[real] = dh
+            grad |= model.backward(code, keep, hs, start, zr, n, dout)
+            seen, step = seen + len(flat), step + 1
+            scale = 1.0 / max(len(flat), 64)
+            pace = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * min(1.0, len(flat) / 512)
+            for k, g in grad.items():
+                g *= np.float32(scale)
+                first[k] += np.float32(0.1) * (g - first[k])
+                second[k] += np.float32(0.01) * (g * g - second[k])
+                model.w[k] -= np.float32(pace) * first[k] / (np.sqrt(second[k]) + np.float32(1e-6))
     return seen
 
 
 def log10_likelihood(model: Model, docs: list[np.ndarray], end: int, lanes: int = LANES) -> np.ndarray:
     """log10 p of each document's codes, the state carried through all of it."""
     packed = _Lanes(docs, lanes, end)
-    logp = np.zeros(packed.target.shape, np.float64)
-    h = np.zeros((packed.target.shape[1], UNITS), np.float32)
-    for t, busy, code, target, keep, real in packed.windows(WINDOW):
+    total = np.zeros(len(docs))
+    h = np.zeros((len(packed.length), UNITS), np.float32)
+    for busy, code, target, keep, real, place in packed.windows(WINDOW):
         hs, *_ = model.states(code, keep, h[:busy])
         h[:busy] = hs[-1]
-        block = np.zeros(target.shape)
-        block[real] = model.output(hs[1:][real], target[real].astype(np.int64), False)
-        logp[t : t + len(target), :busy] = block
-    total = np.concatenate([np.zeros((1, logp.shape[1])), np.cumsum(logp, axis=0)])
-    return np.array([total[t + len(d), j] - total[t, j] for d, (t, j) in zip(docs, packed.place)]) / LN10
+        np.add.at(total, packed.documents(place[real]), model.output(hs[1:][real], target[real].astype(np.int64), False))
+    return total / LN10
 
 
 # ---------------------------------------------------------------- over the cluster
 
 
+def _groups(batches):
+    """Rows in tables of about ``GROUP_BYTES`` of codes, or one row that has more."""
+    held, size = [], 0
+    for batch in batches:
+        codes = batch.column(batch.schema.get_field_index("codes"))
+        ends = np.cumsum(pc.binary_length(codes).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES - size, "right")))
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1]) - before
+            at = to
+            if size >= GROUP_BYTES or at < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _codes(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint16) for b in table["codes"].to_pylist()]
 
 
 def _train_partition(vocabulary, weights):
     def of_partition(batches):
-        rows = [pa.Table.from_batches([b]) for b in batches]
-        docs = [d for t in rows for d in _codes(t)]
-        if docs:
-            v = vocabulary.value
-            model = Model(v).load(weights.value)
-            seen = train(model, docs, v.code.get(END, 0))
-            release()
+        v = vocabulary.value
+        model = Model(v).load(weights.value)
+        seen = train(model, map(_codes, _groups(batches)), v.code.get(END, 0))
+        release()
+        if seen:
             yield pa.RecordBatch.from_arrays([pa.array([model.blob()], pa.binary()), pa.array([float(seen)])], ["blob", "seen"])
 
     return of_partition
@@ -479,16 +498,13 @@ def _average(batches):
 
 def _score_partition(vocabulary, weights):
     def of_partition(batches):
-        rows = [pa.Table.from_batches([b]) for b in batches]
-        if not rows:
-            return
-        table = pa.concat_tables(rows)
         v = vocabulary.value
-        score = log10_likelihood(Model(v).load(weights.value), _codes(table), v.code.get(END, 0)) if v.words else np.zeros(table.num_rows)
-        fixed = table["fixed"].to_numpy() if v.words else table["base_score"].to_numpy()
-        out = table.select(["id", "train", "n_tokens", "n_known", "base_score"]).append_column("score", pa.array(score + fixed))
-        yield from out.to_batches()
-        release()
+        model = Model(v).load(weights.value) if v.words else None
+        for table in _groups(batches):
+            score = log10_likelihood(model, _codes(table), v.code.get(END, 0)) if v.words else np.zeros(table.num_rows)
+            fixed = table["fixed"].to_numpy() if v.words else table["base_score"].to_numpy()
+            yield from table.select(["id", "train", "n_tokens", "n_known", "base_score"]).append_column("score", pa.array(score + fixed)).to_batches()
+            release()
 
     return of_partition
 
@@ -503,9 +519,8 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.coalesce(train_rows, F.lit(False)).alias("train"))
     dealt = own.select("*", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(chunks)).cast("int").alias("chunk")).repartition(n, "chunk")
 
-    top = min(HEAD, 64 + 8 * HEAD // buckets)
-    sent = dealt.mapInArrow(_send(buckets), "bucket int, chunk int, blob binary")
-    counted = cluster.saved(sent.groupBy("bucket").applyInArrow(_count(top), COUNTED))
+    sent = dealt.sortWithinPartitions("chunk").mapInArrow(_send(buckets), "bucket int, chunk int, blob binary")
+    counted = cluster.saved(sent.groupBy("bucket").applyInArrow(_count(HEAD), COUNTED))
     ends = own.where("train").count()
     mass, tokens, distinct = np.zeros(TAIL_CLASSES), ends, int(ends > 0)
     for blob, known in counted.where("kind = 'sums'").select("blob", "n").mapInArrow(_add_sums, "blob binary, n bigint").repartition(1).mapInArrow(_add_sums, "blob binary, n bigint").collect():

@@ -92,6 +92,40 @@ def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def by_chunk(batches):
+    """(chunk, rows) of a stream of batches that is sorted by the column chunk; a chunk is all that is held."""
+    held, current = [], None
+    for batch in batches:
+        chunk = batch.column(batch.schema.get_field_index("chunk")).to_numpy()
+        for part in Runs(chunk):
+            if held and part[0] != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = part[0]
+            held.append(batch.slice(part[1].start, part[1].stop - part[1].start))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+class Runs:
+    """Where the run of each key lies in an array whose equal keys stand together.  It has an entry for
+    each key that occurs, so its size does not depend on how many keys there might be."""
+
+    def __init__(self, keys: np.ndarray):
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        self.begin = np.flatnonzero(new)
+        self.key, self.end = keys[self.begin], np.append(self.begin[1:], len(keys))[: len(self.begin)]
+
+    def __iter__(self):
+        return ((k, slice(a, b)) for k, a, b in zip(self.key.tolist(), self.begin.tolist(), self.end.tolist()))
+
+    def __getitem__(self, key: int) -> slice:
+        """The run of a key of an ascending array."""
+        i = int(np.searchsorted(self.key, key))
+        return slice(int(self.begin[i]), int(self.end[i]))
+
+
 def in_order(table: pa.Table) -> pa.Table:
     """The rows by id (nulls last) and text.  Rows reach a task in any order, and what two passes over
     a chunk number alike must not depend on it."""
