@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import cluster
-from halyard.llm.text import Words, in_order, mix, range_hash, release, words_of
+from halyard.llm.text import Runs, Words, by_chunk, in_order, mix, range_hash, release, words_of
 
 WINDOW = 13
 MINIMISER = 3
@@ -92,14 +92,14 @@ class _Chunk:
         self.first[self.of[::-1]] = every[::-1]
         # strings are numbered within their bucket, in order of first appearance
         self.by_bucket = np.argsort(self.bucket[self.first], kind="stable")
-        self.edges = np.searchsorted(self.bucket[self.first][self.by_bucket], np.arange(buckets + 1))
+        self.runs = Runs(self.bucket[self.first][self.by_bucket])
 
     def blobs(self):
         text = self.strings
-        for b in np.flatnonzero(np.diff(self.edges)):
-            mine = self.by_bucket[self.edges[b] : self.edges[b + 1]]
+        for b, run in self.runs:
+            mine = self.by_bucket[run]
             joined = b"\n".join(text.take(pa.array(mine)).to_pylist())
-            yield int(b), _pack(low=self.ids[self.doc[self.first[mine]]], high=self.ids[self.doc[self.last[mine]]], text=np.frombuffer(joined, np.uint8))
+            yield b, _pack(low=self.ids[self.doc[self.first[mine]]], high=self.ids[self.doc[self.last[mine]]], text=np.frombuffer(joined, np.uint8))
 
     def removed(self, answers) -> np.ndarray:
         """Which words a window covers that also starts in a document with a smaller id."""
@@ -108,7 +108,7 @@ class _Chunk:
         edge = np.searchsorted(self.of[by_string], np.arange(len(self.strings) + 1))
         for b, blob in answers:
             index, offset, length, smallest = _unpack(blob, np.int32, np.int32, np.int32, np.int64)
-            string = self.by_bucket[self.edges[b] + index]
+            string = self.by_bucket[self.runs[b].start + index]
             times = edge[string + 1] - edge[string]
             row = np.repeat(np.arange(len(index)), times)
             at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -122,15 +122,10 @@ class _Chunk:
 
 def _send(k: int, m: int, buckets: int):
     def of_partition(batches):
-        rows = [pa.Table.from_batches([b]) for b in batches]
-        if not rows:
-            return
-        table = pa.concat_tables(rows)
-        chunk = table["chunk"].to_numpy()
-        for c in np.unique(chunk):
-            out = list(_Chunk(table.take(pa.array(np.flatnonzero(chunk == c))), k, m, buckets).blobs())
+        for c, docs in by_chunk(batches):
+            out = list(_Chunk(docs, k, m, buckets).blobs())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([int(c)] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "chunk", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([c] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "chunk", "blob"])
             release()
 
     return of_partition
@@ -246,6 +241,6 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     chunks, buckets = cluster.pieces(size, n), cluster.pieces(2 * size, n)
     dealt = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     dealt = dealt.select("*", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(chunks)).cast("int").alias("chunk")).repartition(n, "chunk")
-    sent = dealt.mapInArrow(_send(k, m, buckets), "bucket int, chunk int, blob binary")
+    sent = dealt.sortWithinPartitions("chunk").mapInArrow(_send(k, m, buckets), "bucket int, chunk int, blob binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer(k), ANSWER)
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(k, m, buckets, digest), RESULT)
