@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import cluster, decontaminate, jaccard_join, langid, mixing, tokens
 from halyard.llm.queries import fold
-from halyard.session import read_table, ship_package
+from halyard.session import made_so_far, read_table, ship_package, sweep
 
 #: A text of at least this many characters whose coverage is below this is in no learned language.
 LONG_CHARS, LEAST_COVERAGE = 200, 0.3
@@ -65,7 +65,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     import public_tokenizers
 
-    path = cluster.shared_dir(spark)
+    path = cluster.shared_dir(spark, "tokens")
     tokens.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.read_tokens(spark, path)
 
@@ -83,7 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows.  What a stage wrote on its way, and its input, go when its result is kept;
+    the token files stay."""
+    docs, before = read_table(spark, sf_dir, "documents"), made_so_far(spark)
     for _, stage in STAGES:
-        docs = cluster.saved(stage(spark, docs, sf_dir))
+        path = cluster.shared_dir(spark)
+        out = stage(spark, docs, sf_dir)
+        out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        sweep(spark, before, keep=(path,))
     return docs
