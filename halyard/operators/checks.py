@@ -33,11 +33,14 @@ def violations(sweep: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def accounting(sweep: DataFrame) -> DataFrame:
-    """PRE costs the passing rows, ACORN one more than its native count, POST its native count."""
+    """PRE costs the passing rows, ACORN one more than its native count, POST its native count; and
+    where a second counter was kept (dist_audit), all of them cost what it says."""
+    method, audit = F.col("method"), F.col("dist_audit") if "dist_audit" in sweep.columns else F.lit(None)
     return sweep.agg(
-        _count((F.col("method") == "pre") & (F.col("dist_exact") != F.col("threshold"))).alias("pre"),
-        _count((F.col("method") == "acorn") & (F.col("dist_exact") != F.col("dist_native") + 1)).alias("acorn"),
-        _count((F.col("method") == "post") & (F.col("dist_exact") != F.col("dist_native"))).alias("post"),
+        _count((method == "pre") & (F.col("dist_exact") != F.col("threshold"))).alias("pre"),
+        _count((method == "acorn") & (F.col("dist_exact") != F.col("dist_native") + 1)).alias("acorn"),
+        _count((method == "post") & (F.col("dist_exact") != F.col("dist_native"))).alias("post"),
+        _count(F.col("dist_exact") != audit).alias("audit"),
     )
 
 
@@ -87,3 +90,32 @@ def repeatable(make, *columns: str) -> bool:
     from halyard.sources.tables import content_digest
 
     return content_digest(make(), *columns) == content_digest(make(), *columns)
+
+
+def scan_integrity(rows: DataFrame, scan: DataFrame, keys: list[str], columns: list[str], extra: str = "n_scanned") -> DataFrame:
+    """Whether a table with one more column belongs to the rows: rows of both, rows without a partner,
+    and partners that differ, column by column."""
+    other = scan.select(*keys, extra, *[F.col(c).alias(f"{c}_scan") for c in columns])
+    joined = rows.select(*keys, *columns).join(other, keys, "left")
+    differ = [_count(F.col(extra).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"{c}_scan"))).alias(f"{c}_mismatch") for c in columns]
+    return joined.agg(F.count(F.lit(1)).alias("rows"), _count(F.col(extra).isNull()).alias("unmatched"), *differ).join(F.broadcast(scan.agg(F.count(F.lit(1)).alias("scan_rows"))))
+
+
+def low_selectivity_cells(oracle: DataFrame, s_low: float, s_high: float, effort: str = "oracle_dist", second: str | None = None, slack: float = 1e-9) -> DataFrame:
+    """Per method and correlation the median effort at a low and a high selectivity.  Without a second
+    measure the low one must cost more; with one it must not be at least as good in both."""
+    at = lambda c, s: F.expr(f"percentile({c}, 0.5) FILTER (WHERE abs(s_achieved - {s}) <= {slack} + 1e-5 * {s})")
+    cells = oracle.groupBy("method", "correlation").agg(*[at(c, s).alias(f"{name}_{end}") for c, name in ((effort, "d"), (second, "f")) if c for s, end in ((s_low, "low"), (s_high, "high"))])
+    from halyard.operators.effort import not_dominated
+
+    passed = not_dominated(F.col("d_low"), F.col("f_low"), F.col("d_high"), F.col("f_high")) if second else F.col("d_low") > F.col("d_high")
+    return cells.withColumn("passed", passed)
+
+
+def same_answers(a: DataFrame, b: DataFrame, effort: str = "dist_native") -> DataFrame:
+    """Two runs over the same queries: answers that one has and the other lacks, and the difference of
+    their whole effort, which must be nothing each."""
+    total = lambda df, name: df.select("query_id", effort).distinct().agg(F.coalesce(F.sum(effort), F.lit(0)).alias(name))
+    answers = same_rows(a.select("query_id", "rank", "neighbor_id"), b.select("query_id", "rank", "neighbor_id"))
+    spent = total(a, "spent_a").join(F.broadcast(total(b, "spent_b"))).select((F.col("spent_a") - F.col("spent_b")).alias("effort_difference"))
+    return answers.join(F.broadcast(spent))

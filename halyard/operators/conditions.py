@@ -133,6 +133,11 @@ def budget_grid(dense: tuple[int, int, int], sparse: tuple[int, int, int]) -> li
     return sorted({b for first, last, step in (dense, sparse) for b in range(first, last + 1, step)})
 
 
+def block_order(blocks: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """The blocks of a sweep with their place in a seeded order."""
+    return global_rank(blocks, [F.md5(F.concat_ws(":", F.lit(seed), *keys)), *[F.col(k) for k in keys]], "place")
+
+
 def unit_column(id_col: str, seed: int) -> Column:
     """The deterministic unit hash of an id, vectorised."""
     import pandas as pd

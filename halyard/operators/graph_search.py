@@ -5,7 +5,7 @@ own graph, built and searched by one task, and the shards' answers are merged by
 An index is a table (shard, level, src, pos, dst) beside the vectors, so it is saved, read and
 inspected like any other.
 
-Two kinds: ``hnsw`` (insertion with beam search and heuristic-free nearest links) for unfiltered
+Two kinds: ``hnsw`` (insertion with beam search, links chosen to lead to different places) for unfiltered
 search, and ``acorn`` (m * gamma nearest links, compressed at level 0 beyond m_beta) for search under
 a predicate, where only passing rows get distances and lists are expanded by two hops.
 """
@@ -29,15 +29,40 @@ INDEX = "shard int, level int, src bigint, pos int, dst bigint"
 
 
 class Counted:
-    """Squared distances to rows of a matrix, counted."""
+    """Squared distances to rows of a matrix.  ``count`` is what a search says it spent; ``read`` counts
+    the rows that really leave the matrix, also those of ``alone``, which a search does not count."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors, self.count = vectors, 0
+        self.vectors, self.count, self.read = vectors, 0, 0
 
     def to(self, q: np.ndarray, rows) -> list[float]:
         self.count += len(rows)
-        d = self.vectors[rows] - q
-        return np.einsum("ij,ij->i", d, d).tolist()
+        return self._far(q, rows).tolist()
+
+    def alone(self, q: np.ndarray, row: int) -> float:
+        return float(self._far(q, [row])[0])
+
+    def _far(self, q: np.ndarray, rows) -> np.ndarray:
+        taken = self.vectors[rows]
+        self.read += taken.shape[0]
+        d = taken - q
+        return np.einsum("ij,ij->i", d, d)
+
+
+def diverse(vectors: np.ndarray, near: list[tuple[float, int]], limit: int) -> list[int]:
+    """Links for a row from its candidates by ascending distance: one that is nearer to a link already
+    chosen than to the row leads where that link leads, and is left out."""
+    rows = np.array([j for _, j in near], np.int64)
+    x = vectors[rows]
+    norm = np.einsum("ij,ij->i", x, x)
+    between = norm[:, None] - 2 * x @ x.T + norm[None, :]
+    chosen: list[int] = []
+    for i, (d, _) in enumerate(near):
+        if len(chosen) == limit:
+            break
+        if not chosen or between[i, chosen].min() >= d:
+            chosen.append(i)
+    return rows[chosen].tolist()
 
 
 def levels_of(ids: np.ndarray, m: int, seed: int) -> np.ndarray:
@@ -93,13 +118,13 @@ class Hnsw:
         for level in range(min(top, int(self.levels[self.entry])), -1, -1):
             at = beam(self.space, q, lambda x, level=level: self.layers[level][x], at, ef)
             limit = 2 * self.m if level == 0 else self.m
-            for _, j in at[: self.m]:
+            for j in diverse(self.space.vectors, at, self.m):
                 self.layers[level][i].append(j)
                 theirs = self.layers[level][j]
                 theirs.append(i)
                 if len(theirs) > limit:
                     d = self.space.to(self.space.vectors[j], theirs)
-                    self.layers[level][j] = [x for _, x in sorted(zip(d, theirs))[:limit]]
+                    self.layers[level][j] = diverse(self.space.vectors, sorted(zip(d, theirs)), limit)
         if top > self.levels[self.entry]:
             self.entry = i
 
@@ -110,10 +135,11 @@ class Hnsw:
         return at
 
     def search(self, q: np.ndarray, k: int, ef: int) -> tuple[list[tuple[float, int]], dict]:
-        before = self.space.count
+        before, read = self.space.count, self.space.read
         at = self._descend(q, 0)
         found = beam(self.space, q, lambda x: self.layers[0].get(x, []), at, max(ef, k))[:k]
-        return found, {"dist_native": self.space.count - before, "dist_exact": self.space.count - before, "n_scanned": 0, "seed": at[0][1]}
+        native = self.space.count - before
+        return found, {"dist_native": native, "dist_exact": native, "dist_audit": self.space.read - read, "n_scanned": 0, "seed": at[0][1]}
 
 
 class Acorn:
@@ -196,8 +222,8 @@ class Acorn:
     def search(self, q: np.ndarray, k: int, ef: int, passes: np.ndarray) -> tuple[list[tuple[float, int]], dict]:
         """Greedy descent to the level-0 seed (which may fail the filter), then best-first among passing
         rows.  The entry's own distance is not in the native count: exact = native + 1."""
-        before, scanned = self.space.count, 0
-        at, d = self.entry, self.space.to(q, [self.entry])[0]
+        before, already, scanned = self.space.count, self.space.read, 0
+        at, d = self.entry, self.space.alone(q, self.entry)
         for level in range(len(self.layers) - 1, 0, -1):
             while True:
                 near, read = self._neighbours(level, at, passes, self._marked(at))
@@ -221,8 +247,8 @@ class Acorn:
                     heapq.heappush(found, (-x, -v))
                     if len(found) > size:
                         heapq.heappop(found)
-        native = self.space.count - before - 1
-        return sorted((-x, -v) for x, v in found)[:k], {"dist_native": native, "dist_exact": native + 1, "n_scanned": scanned, "seed": seed}
+        native = self.space.count - before
+        return sorted((-x, -v) for x, v in found)[:k], {"dist_native": native, "dist_exact": native + 1, "dist_audit": self.space.read - already, "n_scanned": scanned, "seed": seed}
 
 
 def _shards(base: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
@@ -252,12 +278,13 @@ def build_index(base: DataFrame, kind: str = "hnsw", m: int = 16, ef: int = 40,
     return dealt.groupBy("shard").applyInArrow(build, INDEX)
 
 
-FOUND = "query_id bigint, neighbor_id bigint, distance double, dist_native bigint, dist_exact bigint, n_scanned bigint, seed0 bigint"
+SPENT = ("dist_native", "dist_exact", "dist_audit", "n_scanned")
+FOUND = "query_id bigint, neighbor_id bigint, distance double, " + ", ".join(f"{c} bigint" for c in SPENT) + ", seed0 bigint"
 
 
 def search_index(base: DataFrame, index: DataFrame, queries: DataFrame, k: int, ef: int, kind: str = "hnsw", predicate=None, m: int = 16, gamma: int = 1, m_beta: int = 32, seed: int = 42, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, neighbor_id, distance and the query's effort summed over shards (dist_native,
-    dist_exact, n_scanned; seed0 of the first shard)."""
+    dist_exact, dist_audit, n_scanned; seed0 of the first shard)."""
     passes = F.lit(True) if predicate is None else predicate
     dealt, _ = _shards(base.select("vec_id", "embedding", passes.alias("passes")), shard_rows)
     out = None
@@ -280,10 +307,10 @@ def search_index(base: DataFrame, index: DataFrame, queries: DataFrame, k: int,
                 hits, effort = graph.search(v, k, ef) if kind == "hnsw" else graph.search(v, k, ef, ok)
                 first = True
                 for d, i in hits or [(math.inf, -1)]:
-                    found.append((q, int(ids[i]) if i >= 0 else -1, d, *((effort["dist_native"], effort["dist_exact"], effort["n_scanned"]) if first else (0, 0, 0)), int(ids[effort["seed"]])))
+                    found.append((q, int(ids[i]) if i >= 0 else -1, d, *(effort[c] if first else 0 for c in SPENT), int(ids[effort["seed"]])))
                     first = False
-            columns = list(zip(*found)) if found else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * (len(SPENT) + 1)]
+            columns = list(zip(*found)) if found else [[]] * len(kinds)
             return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in FOUND.split(", ")])
 
         return search
@@ -292,9 +319,9 @@ def search_index(base: DataFrame, index: DataFrame, queries: DataFrame, k: int,
         part = dealt.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(searcher(block), FOUND)
         out = part if out is None else out.unionByName(part)
     own = Window.partitionBy("query_id")
-    sums = out.select("*", *[F.sum(c).over(own).alias(f"_{c}") for c in ("dist_native", "dist_exact", "n_scanned")], F.min("seed0").over(own).alias("_seed0"))
+    sums = out.select("*", *[F.sum(c).over(own).alias(f"_{c}") for c in SPENT], F.min("seed0").over(own).alias("_seed0"))
     ranked = sums.where("neighbor_id >= 0").withColumn("rank", F.row_number().over(own.orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "neighbor_id", "distance", *[F.col(f"_{c}").alias(c) for c in ("dist_native", "dist_exact", "n_scanned", "seed0")])
+    return ranked.select("query_id", "rank", "neighbor_id", "distance", *[F.col(f"_{c}").alias(c) for c in (*SPENT, "seed0")])
 
 
 def level0_edges(index: DataFrame) -> DataFrame:

@@ -138,3 +138,35 @@ def postfilter(base: DataFrame, queries: DataFrame, k: int, predicate, s: float,
     sizes = schedule(k, s, base.count(), max_rounds, alpha, growth)
     places = passing_places(base, queries, k, predicate)
     return places.where(F.col("place") <= sizes[-1]).select("query_id", "rank", "neighbor_id", "distance")
+
+
+def postfilter_index(search, passing: DataFrame, queries: DataFrame, k: int, s: float, n: int, max_rounds: int = 8, alpha: float = 1.0, growth: float = 2.0) -> DataFrame:
+    """Over-fetch over any unfiltered index.  ``search(queries, fetch)`` gives query_id, rank,
+    neighbor_id, distance and the query's dist_native; ``passing`` the rows (vec_id) that pass.  Each
+    round searches afresh for the queries that have not k passing results yet, and its effort adds up.
+
+    query_id, rank, neighbor_id, distance, rounds, last_fetch, filter_checks, dist_native; a query
+    without any result has one row with null rank."""
+    if s == 0:
+        none = F.lit(None)
+        return queries.select("query_id", none.cast("int").alias("rank"), none.cast("bigint").alias("neighbor_id"), none.cast("double").alias("distance"), F.lit(0).alias("rounds"), *[F.lit(0).cast("bigint").alias(c) for c in ("last_fetch", "filter_checks", "dist_native")])
+    ok = passing.select(F.col("vec_id").alias("neighbor_id"), F.lit(1).alias("ok"))
+    walk = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # at most a fetch
+    waiting, spent, answers = queries, [], []
+    sizes = schedule(k, s, n, max_rounds, alpha, growth)
+    for number, fetch in enumerate(sizes, 1):
+        found = search(waiting, fetch).join(ok, "neighbor_id", "left").withColumn("nth", F.sum(F.coalesce("ok", F.lit(0))).over(walk))
+        found = written(found.select("query_id", F.col("rank").alias("place"), "neighbor_id", "distance", "dist_native", "ok", "nth"))
+        checks = F.coalesce(F.min(F.when(F.col("nth") >= k, F.col("place"))), F.count(F.lit(1)))
+        per = found.groupBy("query_id").agg(F.max("nth").alias("passed"), checks.cast("bigint").alias("filter_checks"), F.max("dist_native").alias("dist_native"))
+        per = written(waiting.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("filter_checks", F.lit(0)).alias("filter_checks"), F.coalesce("dist_native", F.lit(0)).alias("dist_native"), F.lit(number).alias("round"), F.lit(fetch).cast("bigint").alias("fetch")))
+        spent.append(per)
+        over = per if number == len(sizes) else per.where(F.col("passed") >= k)
+        kept = found.where((F.col("ok") == 1) & (F.col("nth") <= k)).join(over.select("query_id"), "query_id", "left_semi")
+        answers.append(kept.select("query_id", F.col("nth").cast("int").alias("rank"), "neighbor_id", "distance"))
+        if number < len(sizes):
+            waiting = waiting.join(per.where(F.col("passed") < k).select("query_id"), "query_id", "left_semi")
+            if waiting.isEmpty():
+                break
+    effort = reduce(DataFrame.unionByName, spent).groupBy("query_id").agg(F.max("round").alias("rounds"), F.max("fetch").alias("last_fetch"), F.sum("filter_checks").alias("filter_checks"), F.sum("dist_native").alias("dist_native"))
+    return effort.join(reduce(DataFrame.unionByName, answers), "query_id", "left").select("query_id", "rank", "neighbor_id", "distance", "rounds", "last_fetch", "filter_checks", "dist_native")

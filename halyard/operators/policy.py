@@ -176,3 +176,18 @@ def evaluate(pairs: DataFrame, policies: dict[str, Column]) -> DataFrame:
         part = pairs.agg(F.lit(name).alias("policy"), F.avg(F.element_at("cost", index + 1)).alias("mean_cost"), F.avg(F.element_at("success", index + 1).cast("double")).alias("mean_success"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def evaluate_conditions(pairs: DataFrame, policies: dict[str, Column]) -> DataFrame:
+    """The same per condition: condition, policy, mean_cost, mean_success, pairs."""
+    out = None
+    for name, index in policies.items():
+        part = pairs.groupBy("condition").agg(F.lit(name).alias("policy"), F.avg(F.element_at("cost", index + 1)).alias("mean_cost"), F.avg(F.element_at("success", index + 1).cast("double")).alias("mean_success"), F.count(F.lit(1)).alias("pairs"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def fixed_curve(pairs: DataFrame) -> DataFrame:
+    """What every budget alone would give: budget_index, mean_cost, mean_success."""
+    each = pairs.select(F.posexplode(F.arrays_zip("cost", "success")).alias("budget_index", "at"))
+    return each.groupBy("budget_index").agg(F.avg("at.cost").alias("mean_cost"), F.avg(F.col("at.success").cast("double")).alias("mean_success"))

@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import special
@@ -39,8 +39,10 @@ def bootstrap_groups(df: DataFrame, keys: list[str], value_col: str, median: boo
 
 
 def poisson_bootstrap(df: DataFrame, keys: list[str], id_col: str, value_col: str, resamples: int = 200, seed: int = 0) -> DataFrame:
-    """keys, resample, mean: hashed Poisson(1) weights, for groups too large for one task."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "resample"), F.lit(1 << 40)) / float(1 << 40)
+    """keys, resample, mean: each row counts in each resample with a Poisson(1) weight inverted from a
+    hash, so groups of any size are resampled where their rows are, and any engine can repeat it."""
+    digits = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col), F.col("resample")))
+    u = F.conv(F.substring(digits, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     cdf = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
     weight = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cdf]), lambda c: c <= F.col("u")))
     drawn = df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("u", u).withColumn("w", weight)
@@ -48,6 +50,13 @@ def poisson_bootstrap(df: DataFrame, keys: list[str], id_col: str, value_col: st
     return drawn.groupBy(*keys, "resample").agg(F.when(total > 0, F.sum(F.col("w") * F.col(value_col)) / F.when(total > 0, total)).alias("mean"))
 
 
+def poisson_interval(df: DataFrame, keys: list[str], id_col: str, value_col: str, resamples: int = 200, ci: float = 0.95, seed: int = 0) -> DataFrame:
+    """keys, estimate, low, high: the mean with a percentile interval of ``poisson_bootstrap``."""
+    drawn = poisson_bootstrap(df, keys, id_col, value_col, resamples, seed)
+    ends = drawn.groupBy(*keys).agg(*[F.expr(f"percentile(mean, {p})").alias(name) for p, name in ((0.5 * (1 - ci), "low"), (0.5 * (1 + ci), "high"))])
+    return df.groupBy(*keys).agg(F.avg(value_col).alias("estimate")).join(ends, keys)
+
+
 def _rank_table(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Average rank of each distinct value, from counts: only distinct values are ordered."""
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
@@ -108,17 +117,34 @@ def holm(df: DataFrame, p: str, keys: list[str], out: str = "p_holm") -> DataFra
     return scaled.withColumn(out, F.least(F.lit(1.0), F.max("_q").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_q")
 
 
+#: Up to so many differences without zeros and ties the signed-rank test is exact.
+EXACT_RANKS = 50
+
+
+def signed_rank_p(n: int, plus: float, ties: float = 0.0, zeros: int = 0) -> float:
+    """Two-sided p from the number of differences that are not zero and their positive rank sum:
+    exact for small samples without ties and zeros, else by the normal approximation with tie
+    correction; 1 without differences."""
+    if n == 0:
+        return 1.0
+    least = min(plus, n * (n + 1) / 2 - plus)
+    if n <= EXACT_RANKS and not ties and not zeros:
+        ways = np.ones(1)  # how many subsets of the ranks so far have each sum
+        for rank in range(1, n + 1):
+            ways = np.concatenate([ways, np.zeros(rank)]) + np.concatenate([np.zeros(rank), ways])
+        return min(1.0, 2 * float(ways[: int(least) + 1].sum()) / 2.0**n)
+    spread = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return min(1.0, 2 * special.normal_tail(abs(least - n * (n + 1) / 4) / math.sqrt(spread))) if spread > 0 else 1.0
+
+
 def wilcoxon(differences: np.ndarray) -> float:
-    """Two-sided signed-rank p by the normal approximation with tie correction; zeros dropped; 1 if all
-    are zero."""
+    """Two-sided signed-rank p of a sample; zeros dropped; 1 if all are zero."""
     d = differences[differences != 0]
     if not len(d):
         return 1.0
-    value, inverse, count = np.unique(np.abs(d), return_inverse=True, return_counts=True)
+    _, inverse, count = np.unique(np.abs(d), return_inverse=True, return_counts=True)
     rank = (np.cumsum(count) - (count - 1) / 2)[inverse]
-    n, w = len(d), min(rank[d > 0].sum(), rank[d < 0].sum())
-    spread = n * (n + 1) * (2 * n + 1) / 24 - (count**3 - count).sum() / 48
-    return min(1.0, 2 * special.normal_tail(abs(w - n * (n + 1) / 4) / math.sqrt(spread))) if spread > 0 else 1.0
+    return signed_rank_p(len(d), float(rank[d > 0].sum()), float((count**3 - count).sum()), len(differences) - len(d))
 
 
 def wilcoxon_groups(df: DataFrame, keys: list[str], difference: str) -> DataFrame:
@@ -127,16 +153,61 @@ def wilcoxon_groups(df: DataFrame, keys: list[str], difference: str) -> DataFram
     ranks = _rank_table(used, "_abs", keys)
     ties = ranks.groupBy(*keys).agg(F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     signed = used.join(ranks.select(*keys, "_abs", "rank"), [*keys, "_abs"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("rank")).otherwise(0.0)).alias("plus"))
-    moments = df.select(*keys).distinct().join(signed.join(ties, keys), keys, "left")
+    zeros = df.groupBy(*keys).agg(F.sum(F.when(F.col(difference) == 0, 1).otherwise(0)).alias("zeros"))
+    moments = zeros.join(signed.join(ties, keys), keys, "left").na.fill(0.0, ["plus", "ties"]).withColumn("n", F.coalesce("n", F.lit(0)))
+    p = F.pandas_udf(lambda n, plus, ties, zeros: pd.Series([signed_rank_p(int(m), w, t, int(z)) for m, w, t, z in zip(n, plus, ties, zeros)], dtype="float64"), "double")
+    return moments.select(*keys, "n", p("n", "plus", "ties", "zeros").alias("p"))
+
+
+def spearman_p(n: Column, rho: Column) -> Column:
+    """Two-sided p of a rank correlation by Student's t."""
 
-    def p_value(n, plus, ties):
+    def tail(size, r):
         out = []
-        for m, w, t in zip(n, plus, ties):
-            spread = 0.0 if m != m else m * (m + 1) * (2 * m + 1) / 24 - t / 48
-            out.append(1.0 if spread <= 0 else min(1.0, 2 * special.normal_tail(abs(min(w, m * (m + 1) / 2 - w) - m * (m + 1) / 4) / math.sqrt(spread))))
-        return pd.Series(out)
+        for m, x in zip(size, r):
+            if x != x or m < 3:
+                out.append(None)
+            else:
+                out.append(0.0 if abs(x) >= 1 else 2 * special.student_cdf(-abs(x) * math.sqrt((m - 2) / (1 - x * x)), m - 2))
+        return pd.Series(out, dtype="float64")
+
+    return F.pandas_udf(tail, "double")(n, rho)
+
+
+def selectivity_trend(df: DataFrame, keys: list[str], s: str, u: str, levels: list[float]) -> DataFrame:
+    """keys, the mean of u at each selectivity (u_0, u_1, ...), and its rank correlation with s and the
+    p of that, null where u is constant."""
+    means = df.groupBy(*keys).agg(*[F.avg(F.when(F.abs(F.col(s) - x) <= 1e-9, F.col(u))).alias(f"u_{i}") for i, x in enumerate(levels)])
+    return means.join(spearman(df, s, u, keys), keys, "left").withColumn("p", spearman_p(F.col("n"), F.col("rho")))
+
+
+def bootstrap_predictors(df: DataFrame, keys: list[str], cluster: str, y: str, predictors: list[str], resamples: int = 500, ci: float = 0.95, seed: int = 0) -> DataFrame:
+    """Rank correlations of y with each predictor, and for each pair of predictors the difference of
+    the absolute ones, with intervals from resampling whole clusters: keys, measure, value, low, high.
+    A group is a test set's pairs of one condition set, of bounded size."""
+    pairs = [(a, b) for i, a in enumerate(predictors) for b in predictors[i + 1 :]]
+
+    def measures(ranked: np.ndarray) -> np.ndarray:
+        flat = ranked.std(axis=1) == 0
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rho = np.corrcoef(ranked)[0, 1:] if ranked.shape[1] >= 3 else np.full(len(predictors), np.nan)
+        rho = np.where(flat[0] | flat[1:], np.nan, rho)
+        at = {p: abs(r) for p, r in zip(predictors, rho)}
+        return np.concatenate([rho, [at[a] - at[b] for a, b in pairs]])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([cluster, y, *predictors], kind="stable").reset_index(drop=True)
+        members = [g.index.to_numpy() for _, g in pdf.groupby(cluster)]
+        values = pdf[[y, *predictors]].to_numpy(float)
+        ranks = lambda rows: pd.DataFrame(values[rows]).rank().to_numpy().T
+        draw = np.random.default_rng(seed)
+        found = np.array([measures(ranks(np.concatenate([members[j] for j in draw.integers(0, len(members), len(members))]))) for _ in range(resamples)])
+        low, high = (np.array([np.percentile(c[~np.isnan(c)], q) if (~np.isnan(c)).any() else np.nan for c in found.T]) for q in (50 * (1 - ci), 50 * (1 + ci)))
+        names = [*[f"rho_{p}" for p in predictors], *[f"abs_rho_{a}_minus_{b}" for a, b in pairs]]
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "measure": names, "value": measures(ranks(np.arange(len(values)))), "low": low, "high": high})[[*keys, "measure", "value", "low", "high"]]
 
-    return moments.withColumn("p", F.pandas_udf(p_value, "double")(F.col("n").cast("double"), "plus", "ties")).select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "p")
+    schema = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys) + "measure string, value double, low double, high double"
+    return df.select(*keys, cluster, y, *predictors).groupBy(*keys).applyInPandas(one, schema)
 
 
 def kruskal_wallis(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:

@@ -8,26 +8,10 @@ from pyspark.sql import functions as F
 from halyard.functions import scalars, vectors
 from halyard.operators import checks, conditions, effort, graph_search, metrics, nearest, overfetch, policy, reachability, statistics
 from halyard.plans import workload
+from halyard.plans.registry import ORACLE, QUERIES, query  # noqa: F401
+from halyard.plans.registry import with_parts as _with
 from halyard.plans.workload import K, SEED
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _with(*parts: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(parts)
-
-
 # ---- pieces of SQL, shared by the queries' SQL
 _Q = "q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 50 = 0)"
 _D = "list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
@@ -481,40 +465,6 @@ def recall_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(effort.crossing(curve, ["condition"], "budget", "recall", 0.5), "effort")
 
 
-# ---- checks
-
-
-@query(_with(*_SWEEP) + " SELECT count(*) AS rows, 0::BIGINT AS duplicates, 0::BIGINT AS missing, 0::BIGINT AS not_finite FROM sweep")
-def completeness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sweep(spark, sf_dir)
-    return checks.completeness(s, s, ["condition", "method", "budget", "query_id"])
-
-
-@query("SELECT 0::BIGINT AS pre, 0::BIGINT AS acorn, 0::BIGINT AS post")
-def accounting_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.accounting(_sweep(spark, sf_dir))
-
-
-@query("SELECT 0::BIGINT AS recall_falls, 0::BIGINT AS effort_falls")
-def monotone_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.monotone(_sweep(spark, sf_dir), ["condition", "method"])
-
-
-@query(_with(*_SWEEP) + f" SELECT count(*) AS cells, sum((a > 1)::INTEGER)::BIGINT AS differing FROM (SELECT condition, query_id, count(DISTINCT threshold) AS a FROM sweep WHERE method = 'post' AND budget <= ceil({K} / s_achieved - 1e-9) GROUP BY ALL)")
-def inert_budget_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.inert_budgets(_sweep(spark, sf_dir).where("method = 'post'"), ["condition"], K, ["threshold"])
-
-
-@query("SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second")
-def unfiltered_identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.unfiltered_identity(_sweep(spark, sf_dir), ["method", "budget", "query_id", "recall", "dist_exact"])
-
-
-@query("SELECT 12::BIGINT AS pairs, 0::BIGINT AS accepted")
-def swap_rejection_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.swap_rejection(workload.grid(spark, workload.load(spark, sf_dir)), ["correlation", "threshold"])
-
-
 # ---- statistics
 
 
@@ -544,22 +494,6 @@ def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(statistics.kruskal_wallis(d, [], "label", "x").select("h", "df"), "h")
 
 
-@query()
-def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = workload.load(spark, sf_dir).base.select("label", (F.col("embedding")[0] - F.col("embedding")[1]).cast("double").alias("d"))
-    return statistics.wilcoxon_groups(d, ["label"], "d")
-
-
-@query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS mean, round(stddev_samp(embedding[1]::DOUBLE), 6) AS sd FROM embeddings GROUP BY label")
-def t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = workload.load(spark, sf_dir).base.select("label", F.col("embedding")[0].cast("double").alias("x"))
-    from halyard.functions import special
-
-    interval = statistics.t_interval(d, ["label"], "x")
-    q = F.pandas_udf(lambda n: n.map(lambda m: special.student_quantile(0.975, m - 1)), "double")
-    return interval.select("label", "n", F.round("mean", 6).alias("mean"), F.round((F.col("high") - F.col("mean")) * F.sqrt("n") / q("n"), 6).alias("sd"))
-
-
 @query("SELECT label, round(any_value(x), 6) AS quantile FROM (SELECT label, embedding[1]::DOUBLE AS x, row_number() OVER (PARTITION BY label ORDER BY embedding[1]) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE i = floor(0.9 * (n - 1)) GROUP BY label")
 def lower_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = workload.load(spark, sf_dir).base.select("label", F.col("embedding")[0].cast("double").alias("x"))
@@ -572,12 +506,6 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.upper_median(d, "x", ["label"]), "median")
 
 
-@query()
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = workload.load(spark, sf_dir).base.select("label", F.col("embedding")[0].cast("double").alias("x"))
-    return statistics.bootstrap_groups(d, ["label"], "x", resamples=500)
-
-
 # ---- policies
 
 _POLICY = "pol AS (SELECT condition, query_id, budget, recall, dist_exact AS cost, recall >= 0.9 - 1e-12 AS success, max(recall) OVER (PARTITION BY condition, query_id ORDER BY budget) AS p FROM sweep WHERE method = 'post')"
