@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.vectors import distances_between, matrix
+from halyard.session import written
 
 #: Queries in one broadcast, and the distances one step of a task may hold.
 QUERY_BLOCK = 2_000
@@ -90,11 +91,101 @@ def padded(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return joined.select("query_id", "rank", F.coalesce("neighbor_id", F.lit(-1)).alias("neighbor_id"), F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
 
 
-def knn_edges(base: DataFrame, m: int) -> DataFrame:
-    """src, pos (from 0), dst: the m nearest others of every row."""
-    queries = base.select(F.col("vec_id").alias("query_id"), "embedding")
-    near = nearest(base, queries, m, skip_self=True)
-    return near.select(F.col("query_id").alias("src"), (F.col("rank") - 1).alias("pos"), F.col("neighbor_id").alias("dst"))
+def _cells(pivots):
+    def of_partition(batches):
+        """vec_id, embedding, cell and to_pivot: each row with its nearest pivot and the distance."""
+        for batch in batches:
+            x = matrix(batch.column(1))
+            d = np.sqrt(distances_between(x, pivots.value))
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["vec_id", "embedding", "cell", "to_pivot"])
+
+    return of_partition
+
+
+NEAR = "src bigint, dst bigint, distance double"
+
+
+def _pairs(m: int):
+    def of_group(asked: pa.Table, base: pa.Table) -> pa.Table:
+        """The m nearest of a block's rows to each asking row, within the distance that it still wants."""
+        if not asked.num_rows or not base.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], ["src", "dst", "distance"])
+        q, ids, x = asked["vec_id"].to_numpy(), base["vec_id"].to_numpy(), matrix(base["embedding"])
+        wanted, found = asked["wanted"].to_numpy(), []
+        step = max(1, STEP_CELLS // len(ids))
+        for at in range(0, len(q), step):
+            d = distances_between(matrix(asked["embedding"].slice(at, step)), x)
+            d[q[at : at + step, None] == ids[None, :]] = np.inf
+            row, col = np.nonzero((d <= wanted[at : at + step, None]) & (d < np.inf))
+            keep = best(row, d[row, col], ids[col], m)
+            found.append((q[at + row[keep]], ids[col[keep]], d[row[keep], col[keep]]))
+        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], ["src", "dst", "distance"])
+
+    return of_group
+
+
+def _best_of(found: DataFrame, m: int) -> DataFrame:
+    order = Window.partitionBy("src").orderBy("distance", "dst")  # candidates of one row: m a block
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= m)
+
+
+def knn_edges(base: DataFrame, m: int, block_rows: int = 4_000, max_pivots: int = 1_024) -> DataFrame:
+    """src, pos (from 0), dst: the m nearest others of every row.
+
+    Rows are dealt to the cells of a bounded number of pivots, and large cells to blocks.  A row
+    first asks its own block, which bounds the distance it still wants; then only those blocks
+    that the triangle inequality does not rule out (by their cell's pivot and its least and largest
+    distance), in groups of bounded size.  Only the pivots pass through the driver."""
+    spark = base.sparkSession
+    own = base.select(F.col("vec_id").cast("bigint"), "embedding")
+    n = own.count()
+    if n < 2:
+        return spark.createDataFrame([], "src bigint, pos int, dst bigint")
+    few = min(max_pivots, -(-n // block_rows))
+    chosen = own.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(few).select("embedding").toArrow()  # at most max_pivots rows
+    pivots = matrix(chosen["embedding"])
+    placed = written(own.mapInArrow(_cells(spark.sparkContext.broadcast(pivots)), "vec_id bigint, embedding array<float>, cell int, to_pivot double"))
+    cells = placed.groupBy("cell").agg(F.min("to_pivot").alias("least"), F.max("to_pivot").alias("most"), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
+    sizes = cells.collect()  # at most max_pivots rows
+    table = spark.createDataFrame(sizes, cells.schema)
+    blocked = written(placed.join(F.broadcast(table.select("cell", "blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int")))
+    key = ["cell", "block"]
+    asked = blocked.select(*key, "vec_id", "embedding", F.lit(float("inf")).alias("wanted"))
+    rows = blocked.select(*key, "vec_id", "embedding")
+    first = written(asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_pairs(m), NEAR))
+    if sum(c.blocks for c in sizes) == 1:
+        return _best_of(first, m).select("src", (F.col("place") - 1).alias("pos"), "dst")
+    full = first.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+    radius = full.select(F.col("src").alias("vec_id"), F.when(F.col("n") >= m, F.col("far")).otherwise(float("inf")).alias("wanted"))
+    asking = blocked.join(radius, "vec_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(float("inf"))))
+    shared = spark.sparkContext.broadcast((pivots, {c.cell: (c.least, c.most, c.blocks) for c in sizes}))
+
+    def sent(batches):
+        """A row to every other block that may hold something nearer than what it has."""
+        pivots, known = shared.value
+        for batch in batches:
+            cell, block, ids, wanted = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            x = matrix(batch.column(3))
+            d = np.sqrt(distances_between(x, pivots))
+            reach = np.sqrt(np.array(wanted)) * (1 + 1e-6) + 1e-6
+            take, to_cell, to_block = [], [], []
+            for c, (least, most, blocks) in known.items():
+                near = np.flatnonzero((d[:, c] - reach <= most) & (d[:, c] + reach >= least))
+                for b in range(blocks):
+                    mine = [i for i in near.tolist() if (cell[i], block[i]) != (c, b)]
+                    take += mine
+                    to_cell += [c] * len(mine)
+                    to_block += [b] * len(mine)
+            part = batch.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(to_cell, pa.int32()), pa.array(to_block, pa.int32()), part.column(2), part.column(3), part.column(4)], ["cell", "block", "vec_id", "embedding", "wanted"])
+
+    parts = max(1, -(-n // (8 * block_rows)))  # askers of a block come in parts of bounded size
+    spread = lambda df: df.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(parts)).cast("int"))
+    wide = spread(asking.select(*key, "vec_id", "embedding", "wanted").mapInArrow(sent, "cell int, block int, vec_id bigint, embedding array<float>, wanted double"))
+    again = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    more = wide.groupBy(*key, "part").cogroup(again.groupBy(*key, "part")).applyInArrow(_pairs(m), NEAR)
+    return _best_of(first.unionByName(more), m).select("src", (F.col("place") - 1).alias("pos"), "dst")
 
 
 def prefilter(base: DataFrame, queries: DataFrame, k: int, predicate) -> DataFrame:

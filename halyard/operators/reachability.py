@@ -1,8 +1,9 @@
 """What a graph search can reach under its traversal rules.
 
 Edges are (src, pos, dst); pos is the place in the adjacency list.  ``passing`` is a table (vec_id)
-of the rows that pass the filter.  Closures advance by frontiers: join, drop what is known, write,
-until nothing is new; nothing is gathered.
+of the rows that pass the filter.  Graphs of at most ``BROADCAST_EDGES`` steps (counted first) are
+broadcast and searched in memory; larger ones advance by frontiers: join, drop what is known,
+write, until nothing is new, and nothing is gathered.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from halyard.session import written
 
 #: Rings of a closure that are kept apart.
 COMPACT = 12
+#: Steps (and nodes) of a graph that is searched in memory.
+BROADCAST_EDGES = 1_000_000
 GRAPH, SEM, CAP, UNFILTERED = "graph", "sem", "cap", "unfiltered"
 
 
@@ -132,9 +135,65 @@ def induced(steps: DataFrame, passing: DataFrame) -> DataFrame:
     return _passing(steps, passing).join(passing.select(F.col("vec_id").alias("src")), "src", "left_semi").select("src", "dst")
 
 
+class Graph:
+    """A graph of at most ``BROADCAST_EDGES`` steps as arrays: ids ascending, and the places of each
+    node's successors in one flat array."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, nodes: np.ndarray | None = None):
+        self.ids = np.unique(np.concatenate([src, dst, *([] if nodes is None else [nodes])]))
+        src, dst = np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)
+        order = np.argsort(src, kind="stable")
+        self.src, self.dst = src[order], dst[order]
+        self.first = np.searchsorted(self.src, np.arange(len(self.ids) + 1))
+
+    def after(self, rows: np.ndarray) -> np.ndarray:
+        """The successors of some rows, one after another."""
+        size = self.first[rows + 1] - self.first[rows]
+        return self.dst[np.repeat(self.first[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def reach(self, rows: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """Flags of all rows that some rows reach, themselves included; ``inside``: the rows that count."""
+        seen = np.zeros(len(self.ids), bool)
+        seen[rows] = True
+        while len(rows):
+            rows = self.after(rows)
+            rows = np.unique(rows[~seen[rows]] if inside is None else rows[~seen[rows] & inside[rows]])
+            seen[rows] = True
+        return seen
+
+
+def _arrays(steps: DataFrame, *columns: str) -> tuple[np.ndarray, ...] | None:
+    """The columns if they are few enough to broadcast, else None."""
+    if steps.count() > BROADCAST_EDGES:
+        return None
+    table = steps.select(*[F.col(c).cast("bigint") for c in columns]).toArrow()
+    return tuple(table[c].to_numpy() for c in columns)
+
+
 def closure(steps: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, node): all nodes reached from each seed by one step or more, and the seed itself."""
+    """(seed, node): all nodes reached from each seed by one step or more, and the seed itself.  A
+    graph of bounded size is broadcast and searched seed by seed where the seeds are; a larger one
+    is searched ring by ring, in joins."""
     steps = written(steps.select(F.col("src").alias("from_node"), "dst"))
+    seeds = seeds.select(F.col("seed").cast("bigint")).distinct()
+    small = _arrays(steps, "from_node", "dst")
+    if small is None:
+        return _rings(steps, seeds)
+    shared = seeds.sparkSession.sparkContext.broadcast(Graph(*small))  # at most BROADCAST_EDGES steps
+
+    def search(batches):
+        graph = shared.value
+        for batch in batches:
+            for seed in batch.column(0).to_pylist():
+                row = int(np.searchsorted(graph.ids, seed))
+                known = row < len(graph.ids) and graph.ids[row] == seed
+                nodes = graph.ids[graph.reach(np.array([row]))] if known else np.array([seed])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), seed)), pa.array(nodes)], ["seed", "node"])
+
+    return seeds.mapInArrow(search, "seed bigint, node bigint")
+
+
+def _rings(steps: DataFrame, seeds: DataFrame) -> DataFrame:
     rings = [written(seeds.select("seed", F.col("seed").alias("node")).distinct())]
     while True:
         next_nodes = rings[-1].join(steps, F.col("node") == F.col("from_node")).select("seed", F.col("dst").alias("node")).distinct()
@@ -162,9 +221,59 @@ def target_bits(reached: DataFrame) -> DataFrame:
     return reached.groupBy("query_id").agg(F.sum(bit).alias("bits"), F.count(F.lit(1)).alias("n_targets"))
 
 
+def _in_memory(nodes: DataFrame, steps: DataFrame, label) -> DataFrame | None:
+    """(node, component) by labels of a graph's rows, or None if the graph is too large for that."""
+    steps, nodes = written(steps.select("src", "dst").where("src <> dst")), written(nodes.select("vec_id"))
+    edges, ids = _arrays(steps, "src", "dst"), _arrays(nodes, "vec_id")
+    if edges is None or ids is None:
+        return None
+    graph = Graph(*edges, *ids)
+    of = label(graph)
+    own = np.searchsorted(graph.ids, ids[0])
+    return nodes.sparkSession.createDataFrame(pa.table({"node": pa.array(ids[0], pa.int64()), "component": pa.array(graph.ids[of[own]], pa.int64())}))
+
+
+def _weak(graph: Graph) -> np.ndarray:
+    """The smallest row of each row's weak component."""
+    of = np.arange(len(graph.ids))
+    while True:
+        least = of.copy()
+        np.minimum.at(least, graph.src, of[graph.dst])
+        np.minimum.at(least, graph.dst, of[graph.src])
+        least = least[least]
+        if (least == of).all():
+            return of
+        of = least
+
+
+def _strong(graph: Graph) -> np.ndarray:
+    """The largest row of each row's strong component: rows take the colour of the largest row that
+    reaches them, and what reaches that row back within its colour is its component."""
+    back = Graph(graph.ids[graph.dst], graph.ids[graph.src], graph.ids)
+    of, left = np.full(len(graph.ids), -1), np.ones(len(graph.ids), bool)
+    while left.any():
+        colour = np.where(left, np.arange(len(left)), -1)
+        src, dst = graph.src[left[graph.src] & left[graph.dst]], graph.dst[left[graph.src] & left[graph.dst]]
+        while True:
+            best = colour.copy()
+            np.maximum.at(best, dst, colour[src])
+            if (best == colour).all():
+                break
+            colour = best
+        same = colour[back.src] == colour[back.dst]
+        within = Graph(graph.ids[back.src[same]], graph.ids[back.dst[same]], graph.ids)
+        found = within.reach(np.flatnonzero(colour == np.arange(len(colour))), left)
+        of[found] = colour[found]
+        left &= ~found
+    return of
+
+
 def weak_components(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     """(node, component): smallest node of each weakly connected component, by minimum labels that
-    jump along the labels they find."""
+    jump along the labels they find; in memory if the graph is of bounded size."""
+    found = _in_memory(nodes, steps, _weak)
+    if found is not None:
+        return found
     both = written(steps.select("src", "dst").unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
     labels = written(nodes.select(F.col("vec_id").alias("node"), F.col("vec_id").alias("component")))
     while True:
@@ -180,7 +289,10 @@ def weak_components(nodes: DataFrame, steps: DataFrame) -> DataFrame:
 def strong_components(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     """(node, component): the largest node of each strongly connected component.  Colours: the largest
     node that reaches a node; what reaches the colour's own node backwards within the colour is a
-    component; the rest goes on."""
+    component; the rest goes on.  In memory if the graph is of bounded size."""
+    found = _in_memory(nodes, steps, _strong)
+    if found is not None:
+        return found
     left_nodes = written(nodes.select(F.col("vec_id").alias("node")))
     left_steps = written(steps.select("src", "dst").where("src <> dst").distinct())
     done = None

@@ -252,3 +252,22 @@ def test_bootstrap_spearman(spark):
     d = _df(spark, "m string, q long, x double, y double", [("a", q, float(q + c), float(q * 2 - c)) for q in range(30) for c in range(2)] + [("b", q, 1.0, float(q)) for q in range(5)])
     rows = {r.m: r for r in statistics.bootstrap_spearman(d, ["m"], "q", "x", "y", 60).collect()}
     assert 0.9 < rows["a"].low <= rows["a"].high <= 1 and rows["a"].rho > 0.9 and rows["b"].rho is None
+
+
+def test_signed_rank_is_exact_for_small_samples():
+    """Known two-sided values: n = 5 all positive 1/16; n = 8 with rank sum 5 is 10/128."""
+    assert statistics.wilcoxon(np.array([1.0, 2, 3, 4, 5])) == 2 / 32
+    assert abs(statistics.signed_rank_p(8, 5.0) - 2 * 10 / 256) < 1e-12
+    assert statistics.wilcoxon(np.zeros(4)) == 1.0
+    ties = statistics.wilcoxon(np.array([1.0, 1, -1, 2, 3, 4]))
+    assert ties != statistics.signed_rank_p(6, 19.0)  # ties go by the normal approximation
+
+
+def test_trend_and_predictors(spark):
+    rows = [("a", q, s, 1 - s + 0.01 * (q % 3)) for q in range(12) for s in (0.1, 0.5, 1.0)] + [("b", q, s, 0.0) for q in range(12) for s in (0.1, 0.5, 1.0)]
+    df = _df(spark, "m string, q int, s double, u double", rows)
+    got = {r.m: r for r in statistics.selectivity_trend(df, ["m"], "s", "u", [0.1, 0.5, 1.0]).collect()}
+    assert got["a"].rho < -0.9 and got["a"].p < 1e-6 and abs(got["a"].u_1 - 0.51) < 1e-9
+    assert got["b"].rho is None and got["b"].p is None and got["b"].u_0 == 0
+    found = {r.measure: r for r in statistics.bootstrap_predictors(df.where("m = 'a'").withColumn("noise", (F.col("q") * 7 % 5).cast("double")), ["m"], "q", "u", ["s", "noise"], resamples=60).collect()}
+    assert found["rho_s"].value < -0.9 and found["abs_rho_s_minus_noise"].low > 0

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,3 +104,73 @@ def test_closure_components_and_targets(spark):
     assert all(r.src != r.dst for r in dag) and len(dag) == len({(r.src, r.dst) for r in dag})
     returned = spark.createDataFrame([(0, 2, 2), (0, 5, 2)], "query_id long, neighbor_id long, seed long")
     assert R.unsound(returned, got).count() == sum(x not in _search(own, 2) for x in (2, 5))
+
+
+def _plain_scan(u, entries, lists, gamma, m_beta, m):
+    """The rules of a capped scan, one entry at a time."""
+    seen, counted, opening, out = {u}, 0, True, []
+    for pos, (v, passes) in enumerate(entries):
+        counted += passes
+        if v in seen:
+            continue
+        if passes:
+            seen.add(v)
+            out.append(v)
+            if counted >= 2 * m:
+                break
+        if gamma != 1 and not (opening and pos >= m_beta):
+            continue
+        for w in lists[v]:
+            counted += 1
+            if w not in seen:
+                seen.add(w)
+                out.append(w)
+                if counted >= 2 * m:
+                    opening = False
+                    break
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 11), max_size=6), min_size=12, max_size=12), st.lists(st.booleans(), min_size=12, max_size=12), st.sampled_from([1, 4]), st.integers(0, 4), st.integers(1, 4))
+def test_capped_scans_side_by_side(lists, mask, gamma, m_beta, m):
+    inner = {v: [w for w in lists[v] if mask[w]] for v in range(12)}
+    entries = [[(v, mask[v]) for v in lists[u]] for u in range(12)]
+    flat = [e for row in entries for e in row]
+    size = np.cumsum([0, *map(len, entries)])
+    which, found = R.capped_scans(
+        np.arange(12), size, np.array([v for v, _ in flat], np.int64), np.array([p for _, p in flat], bool), np.cumsum([0, *(len(inner[v]) for v, _ in flat)]), np.array([w for v, _ in flat for w in inner[v]], np.int64), gamma, m_beta, m
+    )
+    for u in range(12):
+        assert found[which == u].tolist() == _plain_scan(u, entries[u], inner, gamma, m_beta, m)
+
+
+@pytest.mark.parametrize("limit", [R.BROADCAST_EDGES, 0])
+def test_closures_and_components_in_memory_and_in_joins(spark, monkeypatch, limit):
+    monkeypatch.setattr(R, "BROADCAST_EDGES", limit)
+    draw = random.Random(3)
+    pairs = sorted({(draw.randrange(14), draw.randrange(14)) for _ in range(16)})
+    steps = spark.createDataFrame(pairs, "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(15)], "vec_id long")
+    after = {u: {v for a, v in pairs if a == u} for u in range(15)}
+
+    def reach(u):
+        seen, todo = {u}, [u]
+        while todo:
+            for v in after[todo.pop()] - seen:
+                seen.add(v)
+                todo.append(v)
+        return seen
+
+    every = {u: reach(u) for u in range(15)}
+    got = R.closure(steps, spark.createDataFrame([(0,), (3,), (14,), (99,)], "seed long")).collect()
+    assert {(r.seed, r.node) for r in got} == {(u, v) for u in (0, 3, 14) for v in every[u]} | {(99, 99)}
+    strong = {r.node: r.component for r in R.strong_components(nodes, steps).collect()}
+    assert strong == {u: max(v for v in every[u] if u in every[v]) for u in range(15)}
+    weak = {r.node: r.component for r in R.weak_components(nodes, steps).collect()}
+    group = {u: {u} for u in range(15)}
+    for a, b in pairs:
+        joined = group[a] | group[b]
+        for x in joined:
+            group[x] = joined
+    assert weak == {u: min(group[u]) for u in range(15)}

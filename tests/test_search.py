@@ -206,3 +206,49 @@ def test_grids_and_draws(spark):
     grid = conditions.fragmentation_grid(spark, {"a": 5}, 2, [1.0], 10)
     attributes = spark.createDataFrame([("a", 0, "c1", "h1"), ("a", 1, "c2", "h1")], "level string, realization int, cluster_hash string, attribute_hash string")
     assert tuple(conditions.grid_problems(grid, attributes).first()) == (1, 1, 0)
+
+
+@pytest.mark.parametrize("block_rows", [4_000, 25])
+def test_knn_edges_by_cells(spark, block_rows):
+    draw = np.random.default_rng(8)
+    x = np.round(np.concatenate([draw.normal(c, 0.3, (40, 3)) for c in (0.0, 4.0, 9.0)]), 2).astype(np.float32)
+    x[7] = x[3]
+    base = spark.createDataFrame([(i * 3, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in nearest.knn_edges(base, 5, block_rows=block_rows).select("src", "pos", "dst").collect())
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(-1)
+    expected = []
+    for i in range(len(x)):
+        order = sorted((d[i, j], j) for j in range(len(x)) if j != i)[:5]
+        expected += [(3 * i, pos, 3 * j) for pos, (_, j) in enumerate(order)]
+    assert got == sorted(expected)
+    assert nearest.knn_edges(base.limit(1), 5).count() == 0
+
+
+def test_postfilter_over_an_index(spark):
+    draw = np.random.default_rng(9)
+    x = draw.standard_normal((300, 4)).astype(np.float32)
+    base = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    queries = base.where("vec_id % 60 = 0").withColumnRenamed("vec_id", "query_id")
+    passing = base.where("vec_id % 10 = 0").select("vec_id")
+
+    def search(q, fetch):
+        return nearest.nearest(base, q, fetch).withColumn("dist_native", F.lit(300).cast("bigint"))
+
+    got = overfetch.postfilter_index(search, passing, queries, 3, 0.1, 300, max_rounds=6)
+    truth = nearest.nearest(base.join(passing, "vec_id", "left_semi"), queries, 3)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "neighbor_id").collect()) == sorted(tuple(r) for r in truth.select("query_id", "rank", "neighbor_id").collect())
+    rows = {r.query_id: r for r in got.collect()}
+    exact = {r.query_id: r for r in overfetch.postfilter_effort(base, queries, 3, F.col("vec_id") % 10 == 0, 0.1, max_rounds=6).collect()}
+    for q, r in rows.items():
+        assert (r.rounds, r.last_fetch, r.filter_checks, r.dist_native) == (exact[q].rounds, exact[q].last_fetch, exact[q].filter_checks, 300 * r.rounds)
+    assert overfetch.postfilter_index(search, passing, queries, 3, 0.0, 300).where("rank IS NULL").count() == queries.count()
+
+
+def test_second_counter_agrees(spark):
+    draw = np.random.default_rng(10)
+    base = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(draw.standard_normal((120, 4)).astype(np.float32))], "vec_id long, embedding array<float>")
+    queries = base.where("vec_id % 30 = 0").withColumnRenamed("vec_id", "query_id")
+    for kind, more, predicate in (("hnsw", {"m": 6}, None), ("acorn", {"m": 4, "gamma": 2, "m_beta": 4}, F.col("vec_id") % 2 == 0)):
+        index = graph_search.build_index(base, kind, **more)
+        rows = graph_search.search_index(base, index, queries, 4, 10, kind, predicate, **more).collect()
+        assert rows and all(r.dist_audit == r.dist_exact == r.dist_native + (kind == "acorn") for r in rows)
