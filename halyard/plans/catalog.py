@@ -271,7 +271,20 @@ def succ_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachability.successors(workload.edges(w), _passing(w), reachability.UNFILTERED)
 
 
-@query()
+#: One scan, entry after entry, in a row that carries what was counted and seen.
+_CAP = """pl AS (SELECT src, list(dst ORDER BY pos) AS l FROM edges WHERE dst IN (SELECT vec_id FROM ok) GROUP BY src),
+arr AS (SELECT e.src, list(e.dst ORDER BY e.pos) AS vs, list(e.dst IN (SELECT vec_id FROM ok) ORDER BY e.pos) AS oks, list(coalesce(pl.l, []) ORDER BY e.pos) AS ls FROM edges e LEFT JOIN pl ON pl.src = e.dst GROUP BY e.src),
+sc(src, p, found, opening, vis, fin) AS (SELECT src, 1, 0::BIGINT, true, [src], false FROM arr
+  UNION ALL SELECT src, p + 1, (found1 + CASE WHEN grow THEN coalesce(cut, len(l)) ELSE 0 END)::BIGINT, opening AND NOT (grow AND cut IS NOT NULL),
+    CASE WHEN grow THEN list_concat(vis1, list_transform(list_filter(fresh_at, lambda j: j <= coalesce(cut, len(l))), lambda j: l[j])) ELSE vis1 END, fin1
+  FROM (SELECT *, list_min(list_filter(fresh_at, lambda j: found1 + j >= {twice_m})) AS cut
+  FROM (SELECT *, fresh AND NOT fin1 AND opening AND p - 1 >= {m_beta} AS grow, list_filter(generate_series(1, len(l)), lambda j: NOT list_contains(vis1, l[j]) AND list_position(l, l[j]) = j) AS fresh_at
+  FROM (SELECT *, CASE WHEN fresh AND okv THEN list_append(vis, v) ELSE vis END AS vis1, fresh AND okv AND found1 >= {twice_m} AS fin1
+  FROM (SELECT *, found + okv::INTEGER AS found1, NOT list_contains(vis, v) AS fresh
+  FROM (SELECT sc.*, vs[p] AS v, oks[p] AS okv, ls[p] AS l FROM sc JOIN arr USING (src) WHERE p <= len(vs) AND NOT fin))))))"""
+
+
+@query(_with(_SELF, _EDGES, _PASS, _CAP.format(m_beta=4, twice_m=8)) + " SELECT src, unnest(arg_max(vis, p)[2:]) AS dst FROM sc GROUP BY src")
 def succ_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = workload.load(spark, sf_dir)
     return reachability.successors(workload.edges(w), _passing(w), reachability.CAP, gamma=4, m_beta=4, m=4)

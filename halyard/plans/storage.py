@@ -269,6 +269,18 @@ def unit_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.select("query_id", F.round(conditions.unit_column("query_id", 7), 9).alias("u"))
 
 
+#: The same for every row, by the seed that indexes use.
+_ROW_HASH = _SPLITMIX.replace("query_id", "vec_id").replace("7::UHUGEINT", "42::UHUGEINT").replace("FROM q)", "FROM embeddings)")
+
+
+@query(_with(_ROW_HASH) + """, lv AS (SELECT vec_id, floor(-ln(greatest(z::DOUBLE / 18446744073709551616::DOUBLE, 1e-18)) / ln(8::DOUBLE)) AS top FROM h3)
+SELECT level::INTEGER AS level, count(*) AS nodes FROM lv, generate_series(0, 20) AS g(level) WHERE top >= level GROUP BY level HAVING count(*) > 1""")
+def index_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows stand on each level of a graph; a row alone on its level has no links there."""
+    index = graph_search.build_index(workload.load(spark, sf_dir).base, "acorn", m=8, gamma=2, m_beta=8)
+    return graph_search.index_statistics(index).select("level", "nodes")
+
+
 @query(_with(catalog._Q) + f" SELECT query_id, row_number() OVER (ORDER BY md5('{workload.SEED}:' || query_id), query_id) <= 7 AS is_train, ((row_number() OVER (ORDER BY md5('{workload.SEED}:' || query_id), query_id) - 1) % 3)::INTEGER AS fold FROM q")
 def query_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conditions.split_queries(workload.load(spark, sf_dir).queries.select("query_id"), workload.SEED, 7, 3)
