@@ -52,12 +52,17 @@ def shared_dir(spark: SparkSession, name: str = "halyard") -> str:
 def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
     """Delete the intermediate folders that this application made, from number ``since`` on, but those
     in ``keep``.  Tables that still read them must have been written elsewhere."""
+    discard(spark, *[path for path in _made.get(spark.sparkContext.applicationId, [])[since:] if path not in keep])
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete intermediate folders that nothing reads any more."""
     made = _made.get(spark.sparkContext.applicationId, [])
-    for path in made[since:]:
-        if path not in keep:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    made[since:] = [path for path in made[since:] if path in keep]
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in made:
+            made.remove(path)
 
 
 def made_so_far(spark: SparkSession) -> int:
