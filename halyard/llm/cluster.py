@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.session import shared_dir
+from halyard.session import discard, shared_dir  # noqa: F401
 
 #: Text bytes that one chunk of documents or one bucket should hold; bounds a Python group's memory.
 CHUNK_BYTES = 4 << 20
@@ -13,10 +13,13 @@ CHUNK_BYTES = 4 << 20
 
 def saved(df: DataFrame, codec: str = "zstd", **options) -> DataFrame:
     """The rows written to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
+    return saved_at(shared_dir(df.sparkSession), df, codec, **options)
+
+
+def saved_at(path: str, df: DataFrame, codec: str = "zstd", **options) -> DataFrame:
+    """The same at a given place, for tables that ``discard`` is to delete."""
     df.write.options(compression=codec, **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ in the window and the document's length bound where the window must lie, and the
 compared with the window exactly.  Rarity is counted over all documents, so tokens that stand in
 many documents propose almost nothing.
 
-Documents are split into words once and saved with a row number.  The windows are broadcast in
+Documents are split into words once and saved with a row number, until all blocks are matched.  The windows are broadcast in
 blocks of a fixed number of rows, without the items that hold them; a benchmark of any size is
 joined block after block, so what is broadcast never grows with the data, and each block's matches
 are saved.  Documents are not shuffled: only matched positions and one narrow row per document are,
@@ -82,12 +82,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     window) and items (the sorted ids of items with occurring windows)."""
     windows, holders = item_windows(benchmark, item_id_col, item_text_col, size)
     blocks = max(1, -(-windows.count() // block_rows))
-    rows = cluster.saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _words(F.col(text_col)).alias("low")))
+    path = cluster.shared_dir(docs.sparkSession)
+    rows = cluster.saved_at(path, docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _words(F.col(text_col)).alias("low")))
     found = []
     for b in range(blocks):
         block = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
         found.append(cluster.saved(_matches(rows, prefix_tokens(block, rows))))
     found = reduce(DataFrame.unionByName, found)
+    rows = cluster.saved(rows.select("row", "id", F.size("low").cast("bigint").alias("n_words")))
+    cluster.discard(docs.sparkSession, path)  # all matches are saved
     spans = found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
     covered = F.aggregate(
         "spans",
@@ -97,5 +100,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     listed = found.select("row", "wid").distinct().join(holders, "wid").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = spans.select("row", covered.alias("n_hit")).join(listed, "row", "left")
-    out = rows.select("row", "id", F.size("low").cast("bigint").alias("n_words")).join(hit, "row", "left")
+    out = rows.join(hit, "row", "left")
     return out.select("row", "id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
