@@ -58,7 +58,7 @@ CHUNK_BYTES = 8 << 20
 #: Models averaged by one task; the driver gets no more than that many.
 FAN_IN = 64
 #: Bytes of codes that a task holds at a time when it trains or scores (two a token).
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20
 END = b""
 LN10 = np.log(10.0)
 
@@ -113,12 +113,32 @@ def _send(buckets: int):
     return of_partition
 
 
-COUNTED = "kind string, chunk int, bucket int, word binary, n bigint, blob binary"
+COUNTED = "kind string, chunk int, bucket int, blob binary"
+
+
+def _merge_sums(top: int):
+    def of_partition(batches):
+        """The sums of all rows together, and the most frequent words of all."""
+        total, counts, words = None, [], []
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                sums, n, text = _unpack(blob, np.float64, np.int64, np.uint8)
+                total = sums if total is None else total + sums
+                counts += n.tolist()
+                words += text.tobytes().split(b" ")[:-1]
+                if len(counts) > 8 * top:
+                    counts, words = (list(x) for x in zip(*sorted(zip(counts, words), key=lambda x: (-x[0], x[1]))[:top]))
+        if total is not None:
+            best = sorted(zip(counts, words), key=lambda x: (-x[0], x[1]))[:top]
+            merged = _pack(sums=total, n=np.array([n for n, _ in best], np.int64), words=np.frombuffer(b"".join(w + b" " for _, w in best), np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([merged], pa.binary())], ["blob"])
+
+    return of_partition
 
 
 def _count(top: int):
     def of_bucket(table: pa.Table) -> pa.Table:
-        """Answers ("count"), this bucket's most frequent words ("top") and its sums ("sums")."""
+        """Answers ("count"), and in one row this bucket's sums and most frequent words ("sums")."""
         bucket = table["bucket"][0].as_py()
         parts = [_unpack(b, np.uint32, np.uint8) for b in table["blob"].to_pylist()]
         times = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -134,21 +154,15 @@ def _count(top: int):
         begin, end = offsets[:-1], offsets[1:] - 1
         known = total > 0
         mass = np.bincount(tail_class(text, begin, end)[known], weights=total[known] + SMOOTHING, minlength=TAIL_CLASSES)
-        raw = text.tobytes()
         most = np.argsort(-total, kind="stable")[:top]
         most = most[total[most] > 0]
-        words = [raw[begin[i] : end[i]] for i in most.tolist()]
+        raw = text.tobytes()
+        words = b"".join([raw[begin[i] : end[i] + 1] for i in most.tolist()])
+        sums = _pack(sums=np.append(mass, [total.sum(), known.sum()]).astype(np.float64), n=total[most], words=np.frombuffer(words, np.uint8))
         m = len(blobs)
         return pa.table(
-            [
-                pa.array(["count"] * m + ["top"] * len(words) + ["sums"]),
-                pa.array(table["chunk"].to_pylist() + [None] * (len(words) + 1), pa.int32()),
-                pa.array([bucket] * (m + len(words) + 1), pa.int32()),
-                pa.array([None] * m + words + [None], pa.binary()),
-                pa.array([None] * m + total[most].tolist() + [int(known.sum())], pa.int64()),
-                pa.array(blobs + [None] * len(words) + [np.append(mass, total.sum()).astype(np.float64).tobytes()], pa.binary()),
-            ],
-            ["kind", "chunk", "bucket", "word", "n", "blob"],
+            [pa.array(["count"] * m + ["sums"]), pa.array([*table["chunk"].to_pylist(), None], pa.int32()), pa.array([bucket] * (m + 1), pa.int32()), pa.array([*blobs, sums], pa.binary())],
+            ["kind", "chunk", "bucket", "blob"],
         )
 
     return of_bucket
@@ -386,9 +400,9 @@ class _Lanes:
         self.order = np.array([d for i in rows for d in held[i]], np.int64)
         self.flat = np.concatenate([docs[d] for d in self.order.tolist()]) if docs else np.zeros(0, np.uint16)
         size = np.array([len(docs[d]) for d in self.order.tolist()], np.int64)
-        self.first = np.cumsum(size) - size  # where each document begins there
         self.begins = np.zeros(len(self.flat), bool)
-        self.begins[self.first] = True
+        self.begins[np.cumsum(size) - size] = True
+        self.document = np.repeat(self.order.astype(np.int32), size)  # of each place
 
     def windows(self, size: int):
         """(busy lanes, input codes, target codes, keep, real, place) of the windows in turn; keep is 0
@@ -402,10 +416,6 @@ class _Lanes:
             code = np.where(new, self.end, self.flat[place - ~new])  # a document's first input is an end
             yield busy, code, self.flat[place], (~new).astype(np.float32), real, place
 
-    def documents(self, place: np.ndarray) -> np.ndarray:
-        """The documents of places in the flat array."""
-        return self.order[np.searchsorted(self.first, place, "right") - 1]
-
 
 def train(model: Model, groups, end: int, lanes: int = LANES, rate: float = RATE) -> int:
     """One pass of truncated backpropagation with Adam steps over groups of documents, one group held
@@ -443,7 +453,7 @@ def log10_likelihood(model: Model, docs: list[np.ndarray], end: int, lanes: int
     for busy, code, target, keep, real, place in packed.windows(WINDOW):
         hs, *_ = model.states(code, keep, h[:busy])
         h[:busy] = hs[-1]
-        np.add.at(total, packed.documents(place[real]), model.output(hs[1:][real], target[real].astype(np.int64), False))
+        np.add.at(total, packed.document[place[real]], model.output(hs[1:][real], target[real].astype(np.int64), False))
     return total / LN10
 
 
@@ -459,13 +469,15 @@ def _groups(batches):
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES - size, "right")))
+            to = int(np.searchsorted(ends, before + GROUP_BYTES - size, "right"))
+            if to <= at and held:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+                continue
+            to = max(at + 1, to)
             held.append(batch.slice(at, to - at))
             size += int(ends[to - 1]) - before
             at = to
-            if size >= GROUP_BYTES or at < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -522,11 +534,14 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
     sent = dealt.sortWithinPartitions("chunk").mapInArrow(_send(buckets), "bucket int, chunk int, blob binary")
     counted = cluster.saved(sent.groupBy("bucket").applyInArrow(_count(HEAD), COUNTED))
     ends = own.where("train").count()
-    mass, tokens, distinct = np.zeros(TAIL_CLASSES), ends, int(ends > 0)
-    for blob, known in counted.where("kind = 'sums'").select("blob", "n").mapInArrow(_add_sums, "blob binary, n bigint").repartition(1).mapInArrow(_add_sums, "blob binary, n bigint").collect():
-        each = np.frombuffer(blob, np.float64)
-        mass, tokens, distinct = mass + each[:-1], tokens + int(each[-1]), distinct + known
-    head = [(bytes(r.word), r.n) for r in counted.where("kind = 'top'").orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()]
+    mass, tokens, distinct, head = np.zeros(TAIL_CLASSES), ends, int(ends > 0), []
+    parts = cluster.saved(counted.where("kind = 'sums'").select("blob").mapInArrow(_merge_sums(HEAD - 1), "blob binary"))
+    while (held := parts.count()) > FAN_IN:
+        parts = cluster.saved(parts.repartition(-(-held // FAN_IN)).mapInArrow(_merge_sums(HEAD - 1), "blob binary"))
+    for row in parts.repartition(1).mapInArrow(_merge_sums(HEAD - 1), "blob binary").collect():  # one row of HEAD words
+        sums, n, text = _unpack(bytes(row.blob), np.float64, np.int64, np.uint8)
+        mass, tokens, distinct = sums[:-2].copy(), tokens + int(sums[-2]), distinct + int(sums[-1])
+        head = list(zip(text.tobytes().split(b" ")[:-1], n.tolist()))
     head = sorted([*head, *([(END, ends)] if ends else [])], key=lambda x: (-x[1], x[0]))
     text = b"".join(w for w, _ in head)
     edge = np.cumsum([0, *(len(w) for w, _ in head)])
@@ -552,12 +567,3 @@ def score_texts(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", tex
     out = coded.select("id", "train", "n_tokens", "n_known", "base_score", "fixed", "codes").mapInArrow(_score_partition(shared, weights), "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(tokens).cast("bigint"))
 
-
-def _add_sums(batches):
-    total, n = None, 0
-    for batch in batches:
-        for blob, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(blob, np.float64)
-            total, n = (x if total is None else total + x), n + known
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["blob", "n"])
