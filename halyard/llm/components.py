@@ -2,8 +2,8 @@
 
 Alternating large-star and small-star steps: each round every node points its neighbours at the
 smallest node it knows, which shortens paths until all point at their component's smallest node.
-Minima are pre-aggregated and meet the edges in equi-joins, so a node with very many neighbours
-is split like any skewed join key.  Each round is written to the shared folder.
+Minima are pre-aggregated and saved, and meet the edges in plain equi-joins, so a node with very
+many neighbours is split like any skewed join key.  Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from halyard.llm import cluster
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), F.least("u", "w").alias("w"))
+    least = cluster.saved(both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), F.least("u", "w").alias("w")))
     joined = both.where("v > u").join(least, F.col("u") == F.col("u2"))
     return joined.select(F.col("v").alias("u"), F.col("w").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), "w")
+    least = cluster.saved(down.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), "w"))
     joined = down.join(least, F.col("u") == F.col("u2"))
     return joined.select(F.col("v").alias("u"), F.col("w").alias("v")).where("u <> v").unionByName(least.select(F.col("u2").alias("u"), F.col("w").alias("v"))).distinct()
 
