@@ -68,7 +68,7 @@ _FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Г-жа|Κα"
 _MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Κος"
 _TITLE = rf"(?:{_FEMALE_TITLES}|{_MALE_TITLES}|Dr|Prof)"
 _NAME_PART = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_KNOWN = rf"{_FREE}(?=\p{{Lu}})(?:{'|'.join([*FEMALE_NAMES, *MALE_NAMES])}) "
+_GIVEN_NAMES = f"(?:{'|'.join([*FEMALE_NAMES, *MALE_NAMES])})"
 TITLED = _FREE + _TITLE + r"\.? " + _NAME_PART + r"(?: " + _NAME_PART + r")?" + _DONE
 #: Type and pattern, in order of precedence.  What follows an underscore only tells patterns of a type apart.
 PATTERNS = {
@@ -84,12 +84,14 @@ PATTERNS = {
     "secret": _FREE + r"(?=[0-9A-Fa-f]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})" + _DONE,
     "access_key": _FREE + r"(?:AKIA|ASIA|ghp_|sk_live_)[0-9A-Za-z]{16,}" + _DONE,
     "name": TITLED,
-    "name_known": _KNOWN + _NAME_PART + _DONE,
+    "name_known": _FREE + r"(?=\p{Lu})" + _GIVEN_NAMES + " " + _NAME_PART + _DONE,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity holds one of these, or is a name of a text that does; most texts are spared the long pattern.
-TITLE_SIGN = rf"{_FREE}{_TITLE}{_DONE}"
-SIGN = rf"[0-9@]|{TITLE_SIGN}|AKIA|ASIA|ghp_|sk_live_|{_KNOWN}\p{{Lu}}"
+#: Every entity holds one of these, or is a name of a text that does; most texts are spared the long
+#: pattern.  A capital letter is looked for first, because that is quickly told.
+_CAPITAL = r"(?=\p{Lu})" + _FREE
+TITLE_SIGN = _CAPITAL + _TITLE + _DONE
+SIGN = rf"[0-9@]|{_CAPITAL}(?:{_TITLE}{_DONE}|{_GIVEN_NAMES} \p{{Lu}}|AKIA|ASIA)|ghp_|sk_live_"
 #: Surnames with a male and a female form.
 _SLAVIC = "(?<=ов|ев|ёв|ин|ын)"
 _COUNTRY = r"^\+\d{1,3}[ .-]?(?=[(\d])"
