@@ -106,6 +106,18 @@ def test_op6_awkward(awkward, nothing):
     assert exact_dedup.exact_duplicates(nothing).count() == 0
 
 
+def test_op6_more_classes_than_are_broadcast(awkward, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_CLASSES", 0)
+    again = exact_dedup.exact_duplicates(awkward).collect()
+    assert table(again) == table(r[:4] for r in equal_texts(AWKWARD))
+
+
+def test_op6_reads_in_full_only_what_has_company(spark):
+    rows = [(1, "same"), (2, "sa me"), (3, "other text"), (4, "x" * 70 + "1"), (5, "x" * 70 + "2")]
+    left = exact_dedup.company(spark.createDataFrame(rows, "doc_id long, text string"), "text").collect()
+    assert sorted(r.n_bytes for r in left) == [4, 71]
+
+
 def test_op6_same_length_and_beginning_differ(spark):
     rows = [(1, "a" * 100 + "x"), (2, "a" * 100 + "y"), (3, "a" * 100 + " x"), (4, "b" * 101)]
     got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -147,6 +159,13 @@ def test_op7_large_rates(spark):
     assert abs(mixing.poisson_mix(docs, total=900.0).count() - 36_000) < 1_200
 
 
+def test_op7_very_large_rates(spark):
+    """Drawn in pieces: a hundred thousand copies of one document, within five standard deviations."""
+    docs = spark.createDataFrame([(1, "s"), (2, "s")], "doc_id long, source string")
+    counts = [r.n_copies for r in mixing.poisson_mix(docs, total=100_000.0).where("copy = 1").collect()]
+    assert len(counts) == 2 and all(abs(n - 100_000) < 5 * math.sqrt(100_000) for n in counts) and counts[0] != counts[1]
+
+
 # ---------------------------------------------------------------- surrogates
 
 PRIVATE = (

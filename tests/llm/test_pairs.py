@@ -99,6 +99,44 @@ def test_op3_region_join_by_cells(monkeypatch):
     assert [region.forest.root(x) for x in range(160)] == [plain.root(x) for x in range(160)]
 
 
+def test_op3_forms_cells_on_the_tables(spark, sf_dir):
+    done = jaccard_join.region_counters(spark.read.parquet(f"{sf_dir}/documents.parquet")).first()
+    assert done.cells >= done.regions > 0 and done.members > done.regions
+
+
+def test_op3_copies_only_where_distances_allow():
+    """Members that no pivot reaches are in one cell, and near copies of a pivot in one too."""
+    d = np.ones((16, 100))
+    assert [len(c) for c in jaccard_join.voronoi_cells(d, 0.15)] == [100]
+    d[3, :40] = 0.1
+    cells = jaccard_join.voronoi_cells(d, 0.15)
+    assert sorted(map(len, cells)) == [40, 60] and sum(map(len, cells)) == 100
+
+
+@pytest.mark.parametrize("percent", [50, 85])
+def test_op3_class_counts_never_rule_out_a_link(percent):
+    draw = random.Random(2)
+    for _ in range(300):
+        x = set(draw.sample(range(400), draw.randrange(5, 120)))
+        y = (x - set(draw.sample(sorted(x), draw.randrange(len(x) // 3 + 1)))) | set(draw.sample(range(400), draw.randrange(20)))
+        n = np.array([len(x), len(y)])
+        classes = np.stack([np.bincount([v % jaccard_join.CLASSES for v in s], minlength=jaccard_join.CLASSES) for s in (x, y)]).astype(np.uint16)
+        if 100 * len(x & y) >= percent * len(x | y):
+            assert jaccard_join.may_link(n, classes, 0, np.array([1]), percent).all()
+
+
+def test_op3_texts_of_common_passages_stay_apart(spark):
+    """Each text is two of twelve passages, so all share rare shingles with many others and none links:
+    class counts keep them out of common regions."""
+    draw = random.Random(4)
+    passages = [" ".join(f"p{i}w{draw.randrange(10**6)}" for _ in range(20)) for i in range(12)]
+    rows = [(12 * i + j, passages[i] + " " + passages[j]) for i in range(12) for j in range(i)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert jaccard_join.region_counters(docs).first().members < len(rows) // 4
+    got = jaccard_join.jaccard_components(docs).select("id", "n_shingles", "component_id").collect()
+    assert table(got) == table(jaccard(rows))
+
+
 def test_op3_query(spark, sf_dir):
     got = op3_jaccard_join(spark, sf_dir).collect()
     assert table(got) == table(jaccard(_rows(spark, sf_dir)))

@@ -66,6 +66,54 @@ def test_state_is_carried_across_windows_and_lanes(small_model, monkeypatch):
         assert np.allclose(lm.log10_likelihood(small_model, docs, 2, lanes), whole, atol=1e-4)
 
 
+def _plain_likelihood(model, doc, end):
+    """One document, one token at a time, straight from the definitions."""
+    w, h, total, previous = model.w, np.zeros(lm.UNITS), 0.0, end
+    for code in doc.tolist():
+        a = w["e"][previous] @ w["wx"] + w["b"]
+        gates = 1 / (1 + np.exp(-(h @ w["uzr"] + a[: 2 * lm.UNITS])))
+        z, r = gates[: lm.UNITS], gates[lm.UNITS :]
+        new = np.tanh((r * h) @ w["un"] + a[2 * lm.UNITS :])
+        h = z * h + (1 - z) * new
+        classes = h @ w["wc"] + w["bc"]
+        c = int(model.class_of(np.array([code]))[0])
+        total += classes[c] - np.log(np.exp(classes).sum())
+        if code < model.head:
+            a, b = int(model.first[c]), int(model.first[c + 1])
+            words = h @ w["wo"][:, a:b] + w["bo"][a:b]
+            total += words[code - a] - np.log(np.exp(words).sum())
+        previous = code
+    return total / np.log(10)
+
+
+def test_likelihood_against_plain_steps(small_model):
+    draw = np.random.default_rng(6)
+    docs = [draw.integers(0, 4 + lm.TAIL_CLASSES, n).astype(np.uint16) for n in (1, 30, 7, 55)]
+    got = lm.log10_likelihood(small_model, docs, 2, 3)
+    assert np.allclose(got, [_plain_likelihood(small_model, d, 2) for d in docs], atol=1e-3)
+
+
+def test_one_long_text_beside_many_short_ones(small_model):
+    """Memory follows the tokens, not lanes times the longest text."""
+    draw = np.random.default_rng(7)
+    docs = [draw.integers(0, 4, n).astype(np.uint16) for n in [20_000, *([9] * 383)]]
+    packed = lm._Lanes(docs, lm.LANES, 2)
+    held = sum(x.nbytes for x in vars(packed).values() if isinstance(x, np.ndarray))
+    assert held < 20 * sum(d.nbytes for d in docs)
+    assert max(code.size for _, code, *_ in packed.windows(lm.WINDOW)) <= lm.WINDOW * lm.LANES
+    some = [docs[0][:2_000], *docs[1:20]]
+    assert np.allclose(lm.log10_likelihood(small_model, some, 2), [lm.log10_likelihood(small_model, [d], 2)[0] for d in some], atol=1e-2)
+
+
+def test_rows_come_in_bounded_groups(monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_BYTES", 40)
+    codes = [bytes(2 * n) for n in (3, 4, 30, 1, 1, 9, 9, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(part))), pa.array(part, pa.binary())], ["id", "codes"]) for part in (codes[:2], codes[2:5], codes[5:], [])]
+    groups = [t["codes"].to_pylist() for t in lm._groups(batches)]
+    assert sum(groups, []) == codes
+    assert all(sum(map(len, g)) <= 40 or len(g) == 1 for g in groups)
+
+
 def test_op1_awkward(awkward):
     train = (F.col("doc_id") % 3 != 0).alias("t")
     got = lm.score_texts(awkward, train).collect()
@@ -199,6 +247,7 @@ def test_op9_file_maps_into_memory(spark, tmp_path):
     for part in sorted((tmp_path / "t").glob("part-*")):
         ids, offsets, doc_ids, _ = tokens.parse_part(part.read_bytes())
         if len(ids):
+            assert all((a == b).all() for a, b in zip(tokens.map_part(str(part))[:3], (ids, offsets, doc_ids)))
             mapped = np.memmap(part, ids.dtype, "r", shape=len(ids))
             assert (mapped == ids).all() and offsets[-1] == len(ids) and len(doc_ids) == len(offsets) - 1
     with pytest.raises(ValueError):
