@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halyard.operators.ranks import global_rank
+
 
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Per query: distinct common ids / k.  Padding (-1) never matches; k = 0 gives 0."""
@@ -70,18 +72,25 @@ def null_moments(null: DataFrame, value_col: str) -> DataFrame:
     return null.agg(F.avg(value_col).alias("mean"), F.stddev_samp(value_col).alias("sd"))
 
 
+def _at_place(df: DataFrame, value_col: str, keys: list[str], place, name: str) -> DataFrame:
+    """The value of each group at place(n) of its n values in ascending order, found by global ranks:
+    range partitions spread a large group over tasks."""
+    ranked = global_rank(df.select(*keys, value_col), [*keys, value_col], "_place")
+    groups = ranked.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    own = groups.select(*[F.col(k).alias(f"_of_{k}") for k in keys], (F.col("_first") + place(F.col("_n"))).alias("_wanted"))
+    same = F.col("_place") == F.col("_wanted")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return ranked.join(own, same).select(*keys, F.col(value_col).alias(name))
+
+
 def lower_quantile(df: DataFrame, value_col: str, p: float, keys: list[str]) -> DataFrame:
-    """The value at place floor(p (n - 1)) of each group, without interpolation: by rank, so that no
-    group is gathered in a list."""
-    own = Window.partitionBy(*keys)
-    ranked = df.withColumn("_place", F.row_number().over(own.orderBy(value_col)) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
-    return ranked.where(F.col("_place") == F.floor(p * (F.col("_n") - 1))).select(*keys, F.col(value_col).alias("quantile"))
+    """The value at place floor(p (n - 1)) of each group, without interpolation."""
+    return _at_place(df, value_col, keys, lambda n: F.floor(F.lit(p) * (n - 1)), "quantile")
 
 
 def upper_median(df: DataFrame, value_col: str, keys: list[str]) -> DataFrame:
-    own = Window.partitionBy(*keys)
-    ranked = df.withColumn("_place", F.row_number().over(own.orderBy(value_col)) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
-    return ranked.where(F.col("_place") == F.floor(F.col("_n") / 2)).select(*keys, F.col(value_col).alias("median"))
+    return _at_place(df, value_col, keys, lambda n: F.floor(n / 2), "median")
 
 
 def attribute_sanity(base: DataFrame, queries: DataFrame, attr: str) -> DataFrame:
