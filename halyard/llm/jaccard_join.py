@@ -449,7 +449,8 @@ def _split(large: DataFrame, sizes: DataFrame, percent: int, level: int, region_
     draw = F.pmod(F.xxhash64(F.lit(level), "point"), F.col("members"))
     first = own.groupBy("region").agg(F.min("point").alias("point"), F.first("pieces").alias("pieces"))
     drawn = own.where(draw < PIVOTS).select("region", "point", "pieces").unionByName(first).distinct()
-    pivots = large.select("region", "point", "blob").join(drawn, ["region", "point"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    # saved, because a cogroup of two tables that share columns by their origin is refused as ambiguous
+    pivots = cluster.saved(large.select("region", "point", "blob").join(drawn, ["region", "point"]), codec="none").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     pieces = own.withColumn("piece", F.pmod(F.xxhash64("point", F.lit("piece")), F.col("pieces")).cast("int"))
     return pieces.groupBy("region", "piece").cogroup(pivots.groupBy("region", "piece")).applyInArrow(_assign(percent), MEMBERS)
 

@@ -79,6 +79,18 @@ def test_op3_near_copies_whole_and_split(spark, region_bytes):
     assert table(got) == table(jaccard(rows))
 
 
+def test_op3_split_more_than_once(spark):
+    """A region whose members drift apart is still too large after a first split over the cluster."""
+    draw = random.Random(11)
+    text, rows = [f"w{draw.randrange(10**6)}" for _ in range(120)], []
+    for i in range(40):
+        text[draw.randrange(120)] = f"new{i}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs, region_bytes=8_000).select("id", "n_shingles", "component_id").collect()
+    assert table(got) == table(jaccard(rows))
+
+
 def test_op3_region_join_by_cells(monkeypatch):
     """In memory: cells of a large region find the components of all pairs."""
     draw = random.Random(7)
