@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +14,10 @@ from halyard.plans import catalog, workload
 from halyard.plans.registry import query
 from halyard.plans.registry import with_parts as _with
 from halyard.plans.workload import K
-from halyard.session import shared_dir, written
+from halyard.session import put_bytes, shared_dir, written
 from halyard.sources import tables, vecs
 
 
-def _mounted(spark: SparkSession) -> str:
-    """A new folder by the path that Python opens: the shared one if its file system is mounted, else
-    one of the driver, which then must be the only machine."""
-    path = shared_dir(spark)
-    if not path.startswith("file:"):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("vector files and small documents need a mounted shared folder (file://)")
-        return tempfile.mkdtemp(prefix="halyard-")
-    path = path.removeprefix("file://")
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 def _in_order(w: workload.Workload) -> DataFrame:
     return w.base.select("vec_id", "embedding").repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
 
@@ -43,17 +28,16 @@ _PLACED = "p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embed
 @query(f"WITH {_PLACED} SELECT vec_id, len(embedding)::INTEGER AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM p")
 def fvecs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors through files of 32-bit floats, read in ranges of 64 KB."""
-    path = _mounted(spark)
+    path = shared_dir(spark)
     vecs.write_vecs(_in_order(workload.load(spark, sf_dir)), path, "fvecs")
-    vecs.register(spark)
-    rows = spark.read.format("fvecs").option("range_bytes", 1 << 16).load(path)
+    rows = vecs.read_vecs(spark, path, "fvecs", range_bytes=1 << 16)
     return rows.select("vec_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
 @query(f"WITH {_PLACED} SELECT count(*) AS n, max(vec_id) AS last, (SELECT min(len(embedding)) FROM p)::INTEGER AS dim FROM p WHERE vec_id < 150")
 def fvecs_row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A limit of rows ends the ranges that are read."""
-    path = _mounted(spark)
+    path = shared_dir(spark)
     vecs.write_vecs(_in_order(workload.load(spark, sf_dir)), path, "fvecs")
     return vecs.read_vecs(spark, path, "fvecs", 150).agg(F.count(F.lit(1)).alias("n"), F.max("vec_id").alias("last"), F.min(F.size("embedding")).alias("dim"))
 
@@ -62,7 +46,7 @@ def fvecs_row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivecs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact neighbours as lists of 32-bit ids, one row for each query."""
     w = workload.load(spark, sf_dir)
-    path = _mounted(spark)
+    path = shared_dir(spark)
     lists = nearest.nearest(w.base, w.queries, K).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbor_id"))), lambda x: x.neighbor_id.cast("int")).alias("embedding"))
     ordered = lists.select(F.col("query_id").alias("vec_id"), "embedding").repartitionByRange(2, "vec_id").sortWithinPartitions("vec_id")
     vecs.write_vecs(ordered, path, "ivecs")
@@ -75,14 +59,13 @@ def vecs_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that do not fit together are refused before any row is read."""
     import numpy as np
 
-    folder = _mounted(spark)
-    np.array([0, 1], "<i4").tofile(f"{folder}/a.fvecs")
-    np.array([2, 1, 1, 2], "<i4").tofile(f"{folder}/b.fvecs")
-    vecs.write_rows(f"{folder}/d.fvecs", np.ones((2, 3), "<f4"), np.dtype("<f4"))
+    folder = shared_dir(spark)
+    for name, numbers in (("a", np.array([0, 1], "<i4")), ("b", np.array([2, 1, 1, 2], "<i4")), ("d", vecs.row_bytes(np.ones((2, 3), "<f4"), np.dtype("<f4")))):
+        put_bytes(spark, f"{folder}/{name}.fvecs", numbers.tobytes())
     found = []
     for name, file in (("bad header", "a"), ("not whole", "b"), ("absent", "c"), ("good", "d")):
         try:
-            vecs.file_shape(f"{folder}/{file}.fvecs")
+            vecs.file_shape(f"{folder}/{file}.fvecs", spark)
             found.append((name, False))
         except (ValueError, FileNotFoundError):
             found.append((name, True))
@@ -160,10 +143,10 @@ def gzip_csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES ('a', 1::BIGINT, 0.5::DOUBLE), ('b', 2, NULL), ('c', 3, NULL)) AS t(stage, n, score)")
 def json_records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run records, where numbers that JSON lacks become null, read by one pattern."""
-    folder = _mounted(spark)
+    folder = shared_dir(spark)
     for stage, n, score in (("a", 1, 0.5), ("b", 2, float("nan")), ("c", 3, float("inf"))):
-        tables.write_run_record(f"{folder}/{stage}.json", {"stage": stage, "n": n, "score": score})
-    return tables.read_json_records(spark, f"file://{folder}/*.json", T.StructType([T.StructField("stage", T.StringType()), T.StructField("n", T.LongType()), T.StructField("score", T.DoubleType())]))
+        tables.write_run_record(f"{folder}/{stage}.json", {"stage": stage, "n": n, "score": score}, spark)
+    return tables.read_json_records(spark, f"{folder}/*.json", T.StructType([T.StructField("stage", T.StringType()), T.StructField("n", T.LongType()), T.StructField("score", T.DoubleType())]))
 
 
 _CONDITION = T.StructType([T.StructField("condition", T.StringType()), T.StructField("correlation", T.StringType()), T.StructField("level", T.StringType()), T.StructField("realization", T.StringType()), T.StructField("s_requested", T.DoubleType()), T.StructField("threshold", T.LongType())])
@@ -172,10 +155,10 @@ _CONDITION = T.StructType([T.StructField("condition", T.StringType()), T.StructF
 @query("SELECT 'kept_' || level || '_' || realization AS condition, 'clustered' AS correlation, level, realization, s AS s_requested, 100::BIGINT AS threshold FROM (VALUES ('c10'), ('c50')) AS a(level), (VALUES ('r0')) AS b(realization), (VALUES (0.1::DOUBLE)) AS c(s)")
 def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of conditions written, read, narrowed and renamed."""
-    folder = _mounted(spark)
+    folder = shared_dir(spark)
     rows = [(f"{level}_{r}_{s}", "clustered", level, r, s, 100) for level in ("c10", "c50", "c99") for r in ("r0", "r1") for s in (0.1, 1.0)]
-    tables.write_manifest(f"{folder}/m.yaml", {"dataset": "embeddings"}, spark.createDataFrame(rows, _CONDITION))
-    read = tables.manifest_conditions(spark, tables.read_manifest(f"{folder}/m.yaml"), _CONDITION)
+    tables.write_manifest(f"{folder}/m.yaml", {"dataset": "embeddings"}, spark.createDataFrame(rows, _CONDITION), spark)
+    read = tables.manifest_conditions(spark, tables.read_manifest(f"{folder}/m.yaml", spark), _CONDITION)
     return tables.select_manifest(read, levels=["c10", "c50"], realizations=["r0"], selectivities=[0.1], renames={f"{level}_r0_0.1": f"kept_{level}_r0" for level in ("c10", "c50")})
 
 
@@ -214,11 +197,10 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha256('some bytes ' || repeat('x', 100000)) AS whole, sha256('some bytes ') = sha256('other') AS same")
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of a file read in chunks, and of two files that differ."""
-    folder = _mounted(spark)
+    folder = shared_dir(spark)
     for name, text in (("a", "some bytes " + "x" * 100_000), ("b", "some bytes "), ("c", "other")):
-        with open(f"{folder}/{name}", "w") as f:
-            f.write(text)
-    whole, b, c = (tables.file_digest(f"{folder}/{name}", chunk=4096) for name in "abc")
+        put_bytes(spark, f"{folder}/{name}", text.encode())
+    whole, b, c = (tables.file_digest(f"{folder}/{name}", chunk=4096, spark=spark) for name in "abc")
     return spark.createDataFrame([(whole, b == c)], "whole string, same boolean")
 
 
@@ -247,10 +229,9 @@ def run_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     import hashlib
     import re
 
-    folder = _mounted(spark)
-    tables.write_run_record(f"{folder}/run.json", tables.run_header(spark, "search", digest=hashlib.md5(b"x").hexdigest()))
-    with open(f"{folder}/run.json") as f:
-        record = json.load(f)
+    folder = shared_dir(spark)
+    tables.write_run_record(f"{folder}/run.json", tables.run_header(spark, "search", digest=hashlib.md5(b"x").hexdigest()), spark)
+    record = json.loads(tables.read_text(f"{folder}/run.json", spark))
     return spark.createDataFrame([("UTC" if record["run_id"].endswith("Z") else "", bool(re.fullmatch(r"\d{8}T\d{6}Z", record["run_id"])), {"spark", "python", "machine", "cores"} <= set(record), record["digest"])], "zone string, stamped boolean, versions boolean, digest string")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from halyard.session import byte_chunks, put_bytes
+
 
 def row_hash(*columns: Column | str) -> Column:
     return F.xxhash64(*columns)
@@ -92,23 +94,35 @@ def read_json_records(spark: SparkSession, pattern: str, schema: T.StructType |
     return (reader.schema(schema) if schema else reader).json(pattern)
 
 
-def write_run_record(path: str, record: dict) -> None:
-    """A small document on the driver: keys keep their order, numbers that JSON lacks become null."""
+def _put_text(path: str, text: str, spark: SparkSession | None) -> None:
+    """A small document, in any file system that Spark knows if a session is given, else a local one."""
+    if spark is None:
+        Path(path).write_text(text)
+    else:
+        put_bytes(spark, path, text.encode())
+
+
+def read_text(path: str, spark: SparkSession | None = None) -> str:
+    return Path(path).read_text() if spark is None else b"".join(byte_chunks(spark, path)).decode()
+
+
+def write_run_record(path: str, record: dict, spark: SparkSession | None = None) -> None:
+    """A small document from the driver: keys keep their order, numbers that JSON lacks become null."""
     clean = {k: (None if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))) else v) for k, v in record.items()}
-    Path(path).write_text(json.dumps(clean, indent=2) + "\n")
+    _put_text(path, json.dumps(clean, indent=2) + "\n", spark)
 
 
-def read_manifest(path: str) -> dict:
+def read_manifest(path: str, spark: SparkSession | None = None) -> dict:
     import yaml
 
-    return yaml.safe_load(Path(path).read_text())
+    return yaml.safe_load(read_text(path, spark))
 
 
-def write_manifest(path: str, header: dict, conditions: DataFrame) -> None:
+def write_manifest(path: str, header: dict, conditions: DataFrame, spark: SparkSession | None = None) -> None:
     """A YAML manifest: a header and the list of conditions (one row per condition: small)."""
     import yaml
 
-    Path(path).write_text(yaml.safe_dump(header | {"conditions": [r.asDict() for r in conditions.collect()]}, sort_keys=False))
+    _put_text(path, yaml.safe_dump(header | {"conditions": [r.asDict() for r in conditions.collect()]}, sort_keys=False), spark)
 
 
 def manifest_conditions(spark: SparkSession, manifest: dict, schema: T.StructType) -> DataFrame:
@@ -128,9 +142,13 @@ def select_manifest(conditions: DataFrame, levels=None, realizations=None, selec
     return out
 
 
-def file_digest(path: str, chunk: int = 4 << 20) -> str:
-    """SHA-256 of a local file, read in chunks."""
+def file_digest(path: str, chunk: int = 4 << 20, spark: SparkSession | None = None) -> str:
+    """SHA-256 of a file, read in chunks."""
     h = hashlib.sha256()
+    if spark is not None:
+        for block in byte_chunks(spark, path, chunk):
+            h.update(block)
+        return h.hexdigest()
     with open(path, "rb") as f:
         while block := f.read(chunk):
             h.update(block)

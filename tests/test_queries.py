@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
-from halyard.plans import catalog
+from halyard.plans import catalog, storage
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -41,6 +41,18 @@ def test_query(spark, sf_dir, duck, name):
         assert sorted(repr([_cell(r[c]) for c in columns]) for r in rows) == sorted(repr([_cell(r[i]) for i in place]) for r in found.fetchall())
 
 
+ROUND_TRIPS = "file_digests fvecs_round_trip fvecs_row_limit json_records_round_trip manifest_round_trip vecs_validation run_provenance ivecs_round_trip".split()
+
+
+@pytest.mark.parametrize("name", ROUND_TRIPS)
+def test_round_trips_without_a_mounted_folder(spark, sf_dir, duck, tmp_path, monkeypatch, name):
+    """The shared folder is one that only Spark's file systems can open."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shelf.link./shared", f"file://{tmp_path}")
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"viewfs://shelf/shared/{name}")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://other:7077")
+    test_query(spark, sf_dir, duck, name)
+
+
 def test_entry(spark, sf_dir):
     assert entry_points.entry(spark).count() > 0
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
