@@ -279,18 +279,21 @@ def build_index(base: DataFrame, kind: str = "hnsw", m: int = 16, ef: int = 40,
 
 
 SPENT = ("dist_native", "dist_exact", "dist_audit", "n_scanned")
-FOUND = "query_id bigint, neighbor_id bigint, distance double, " + ", ".join(f"{c} bigint" for c in SPENT) + ", seed0 bigint"
+FOUND = "query_id bigint, neighbor_id bigint, distance double, " + ", ".join(f"{c} bigint" for c in SPENT) + ", seed0 bigint, shard bigint"
 
 
-def search_index(base: DataFrame, index: DataFrame, queries: DataFrame, k: int, ef: int, kind: str = "hnsw", predicate=None, m: int = 16, gamma: int = 1, m_beta: int = 32, seed: int = 42, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def search_index(base: DataFrame, index: DataFrame, queries: DataFrame, k: int, ef: int, kind: str = "hnsw", predicate=None, m: int = 16, gamma: int = 1, m_beta: int = 32, seed: int = 42, shard_rows: int = SHARD_ROWS, traced: bool = False) -> DataFrame:
     """query_id, rank, neighbor_id, distance and the query's effort summed over shards (dist_native,
-    dist_exact, dist_audit, n_scanned; seed0 of the first shard)."""
+    dist_exact, dist_audit, n_scanned; seed0, the smallest seed of any shard).  ``traced``: also the
+    neighbour's shard, the seed of the search in that shard, and searches, the number of shards that
+    were searched for the query: each search has a seed and an effort of its own."""
     passes = F.lit(True) if predicate is None else predicate
     dealt, _ = _shards(base.select("vec_id", "embedding", passes.alias("passes")), shard_rows)
     out = None
 
     def searcher(block):
         def search(rows: pa.Table, links: pa.Table) -> pa.Table:
+            shard = rows["shard"][0].as_py()
             ids, vectors, table = _ordered(rows)
             ok = table["passes"].to_numpy(zero_copy_only=False).astype(bool)
             levels = levels_of(ids, m, seed)
@@ -307,9 +310,9 @@ def search_index(base: DataFrame, index: DataFrame, queries: DataFrame, k: int,
                 hits, effort = graph.search(v, k, ef) if kind == "hnsw" else graph.search(v, k, ef, ok)
                 first = True
                 for d, i in hits or [(math.inf, -1)]:
-                    found.append((q, int(ids[i]) if i >= 0 else -1, d, *(effort[c] if first else 0 for c in SPENT), int(ids[effort["seed"]])))
+                    found.append((q, int(ids[i]) if i >= 0 else -1, d, *(effort[c] if first else 0 for c in SPENT), int(ids[effort["seed"]]), shard))
                     first = False
-            kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * (len(SPENT) + 1)]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * (len(SPENT) + 2)]
             columns = list(zip(*found)) if found else [[]] * len(kinds)
             return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in FOUND.split(", ")])
 
@@ -319,9 +322,9 @@ def search_index(base: DataFrame, index: DataFrame, queries: DataFrame, k: int,
         part = dealt.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(searcher(block), FOUND)
         out = part if out is None else out.unionByName(part)
     own = Window.partitionBy("query_id")
-    sums = out.select("*", *[F.sum(c).over(own).alias(f"_{c}") for c in SPENT], F.min("seed0").over(own).alias("_seed0"))
+    sums = out.select("*", *[F.sum(c).over(own).alias(f"_{c}") for c in SPENT], F.min("seed0").over(own).alias("_seed0"), F.size(F.collect_set("shard").over(own)).cast("bigint").alias("searches"))
     ranked = sums.where("neighbor_id >= 0").withColumn("rank", F.row_number().over(own.orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "neighbor_id", "distance", *[F.col(f"_{c}").alias(c) for c in (*SPENT, "seed0")])
+    return ranked.select("query_id", "rank", "neighbor_id", "distance", *[F.col(f"_{c}").alias(c) for c in (*SPENT, "seed0")], *(["shard", F.col("seed0").alias("seed"), "searches"] if traced else []))
 
 
 def level0_edges(index: DataFrame) -> DataFrame:

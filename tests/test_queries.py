@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from halyard.operators import graph_search
 from halyard.plans import analysis, catalog, storage
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -53,6 +54,14 @@ def test_round_trips_without_a_mounted_folder(spark, sf_dir, duck, tmp_path, mon
     test_query(spark, sf_dir, duck, name)
 
 
+@pytest.mark.parametrize("name", ["acorn_seeds", "accounting_check", "scan_integrity_check"])
+def test_queries_over_several_shards(spark, sf_dir, duck, monkeypatch, name):
+    """Each shard's graph is searched from a seed of its own, whose distance is not in the native count."""
+    whole = graph_search._shards
+    monkeypatch.setattr(graph_search, "_shards", lambda base, _: whole(base, 200))
+    test_query(spark, sf_dir, duck, name)
+
+
 def test_entry(spark, sf_dir):
     assert entry_points.entry(spark).count() > 0
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
