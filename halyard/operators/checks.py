@@ -33,13 +33,15 @@ def violations(sweep: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def accounting(sweep: DataFrame) -> DataFrame:
-    """PRE costs the passing rows, ACORN one more than its native count, POST its native count; and
-    where a second counter was kept (dist_audit), all of them cost what it says."""
+    """PRE costs the passing rows, ACORN one more than its native count for every graph it searched
+    (searches, one if there is no such column), POST its native count; and where a second counter was
+    kept (dist_audit), all of them cost what it says."""
     method = F.col("method")
+    entries = F.col("searches") if "searches" in sweep.columns else F.lit(1)
     audit = [_count(F.col("dist_exact") != F.col("dist_audit")).alias("audit")] if "dist_audit" in sweep.columns else []
     return sweep.agg(
         _count((method == "pre") & (F.col("dist_exact") != F.col("threshold"))).alias("pre"),
-        _count((method == "acorn") & (F.col("dist_exact") != F.col("dist_native") + 1)).alias("acorn"),
+        _count((method == "acorn") & (F.col("dist_exact") != F.col("dist_native") + entries)).alias("acorn"),
         _count((method == "post") & (F.col("dist_exact") != F.col("dist_native"))).alias("post"),
         *audit,
     )

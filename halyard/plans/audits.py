@@ -125,17 +125,17 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
         base, ok = ranks.select("vec_id", "embedding", "rank"), F.col("rank") < c.threshold
         truth = written(nearest.nearest(base.where(ok), w.queries, K))
         spent = base.agg(F.sum(ok.cast("bigint")).alias("dist_exact"))
-        pre = truth.join(F.broadcast(spent)).select(F.lit("pre").alias("method"), F.lit(0).alias("budget"), "query_id", "rank", "neighbor_id", "distance", "dist_exact", F.col("dist_exact").alias("dist_native"), F.col("dist_exact").alias("dist_audit"), F.lit(0).cast("bigint").alias("n_scanned"))
+        pre = truth.join(F.broadcast(spent)).select(F.lit("pre").alias("method"), F.lit(0).alias("budget"), "query_id", "rank", "neighbor_id", "distance", "dist_exact", F.col("dist_exact").alias("dist_native"), F.col("dist_exact").alias("dist_audit"), F.lit(0).cast("bigint").alias("n_scanned"), F.lit(1).cast("bigint").alias("searches"))
         out.append(pre.withColumn("condition", F.lit(c.condition)).withColumn("threshold", F.lit(c.threshold)))
         for ef in EFS:
-            found = graph_search.search_index(base, acorn, w.queries, K, ef, "acorn", ok, m=8, gamma=4, m_beta=16).drop("seed0")
+            found = graph_search.search_index(base, acorn, w.queries, K, ef, "acorn", ok, m=8, gamma=4, m_beta=16, traced=True).drop("seed0", "shard", "seed")
             out.append(found.select(F.lit("acorn").alias("method"), F.lit(ef).alias("budget"), F.lit(c.condition).alias("condition"), F.lit(c.threshold).alias("threshold"), *found.columns))
 
             def search(queries: DataFrame, fetch: int, ef: int = ef) -> DataFrame:
                 return graph_search.search_index(w.base, hnsw, queries, fetch, max(ef, fetch), "hnsw", m=12)
 
             post = overfetch.postfilter_index(search, base.where(ok), w.queries, K, c.s_achieved, w.n, max_rounds=3).where("rank IS NOT NULL")
-            out.append(post.select(F.lit("post").alias("method"), F.lit(ef).alias("budget"), F.lit(c.condition).alias("condition"), F.lit(c.threshold).alias("threshold"), "query_id", "rank", "neighbor_id", "distance", F.col("dist_native").alias("dist_exact"), "dist_native", F.col("dist_native").alias("dist_audit"), F.lit(0).cast("bigint").alias("n_scanned")))
+            out.append(post.select(F.lit("post").alias("method"), F.lit(ef).alias("budget"), F.lit(c.condition).alias("condition"), F.lit(c.threshold).alias("threshold"), "query_id", "rank", "neighbor_id", "distance", F.col("dist_native").alias("dist_exact"), "dist_native", F.col("dist_native").alias("dist_audit"), F.lit(0).cast("bigint").alias("n_scanned"), F.lit(1).cast("bigint").alias("searches")))
     return written(reduce(DataFrame.unionByName, out))
 
 
